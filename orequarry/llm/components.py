@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,29 +30,40 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array(nodes, np.int64), np.array([find(x) for x in nodes], np.int64)
 
 
+def _contract(batches):
+    """A spanning forest of the edges that one task holds."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column("u").to_numpy())
+        b.append(batch.column("v").to_numpy())
+    if a:
+        u, v = spanning_edges(np.concatenate(a), np.concatenate(b))
+        keep = u != v
+        yield pa.RecordBatch.from_arrays([pa.array(u[keep], pa.int64()), pa.array(v[keep], pa.int64())], ["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): one row per node of edges(a long, b long).
 
     Rows with a null end and loops are left out; repeated edges count once; no edges give no rows.
-    Each round is an aggregation by node and a join, both with map-side combining or splittable
-    partitions, so a node with very many neighbours is not gathered in one task. Each round is written
-    to the shared folder.
+    Tasks first reduce the edges they hold to a spanning forest. A round is two aggregations by node,
+    each joined back, with map-side combining and splittable partitions, so a node with very many
+    neighbours is not gathered in one task. Each round is written to the shared folder.
     """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    two = "u long, v long"
+    start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = materialize(start.mapInArrow(_contract, two))
     while True:
-        both = now.union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small)
         # done when every node points at one node that points nowhere
-        twice = now.groupBy("u").count().where("count > 1").limit(1)
-        chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).select("u", F.lit(1).alias("count"))
-        if twice.union(chained).isEmpty():
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
+        open_ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)")
+        if open_ends.isEmpty():
             break
+        both = now.union(now.select(F.col("v"), F.col("u")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct().mapInArrow(_contract, two))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

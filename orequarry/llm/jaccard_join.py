@@ -39,8 +39,12 @@ class SetTrie:
         self.order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
         self.rows = [ranked[i] for i in self.order]
         self.sizes = np.array([len(r) for r in self.rows], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flat = np.concatenate(self.rows)
         self.shared = np.array([_common(a, b) for a, b in zip(self.rows, self.rows[1:], strict=False)], np.int64)
         self.universe = len(members)
+        # how common the members of a row are among all rows: the first row has the most in common with the rest
+        self.central = np.argsort(-np.add.reduceat(np.sort(counts)[::-1][self.flat], self.at[:-1]) / self.sizes, kind="stable")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -49,12 +53,17 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+#: Subtrees of at most so many sets are finished at once, below the path they share.
+BUNDLE = 512
+
+
 def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the index of the smallest set it is linked with, directly or through others.
 
-    Every set walks the tree of all. Overlaps with a shared path are counted once. A subtree is left
-    when no set below can reach the threshold with what remains of it and of the query, or when all
-    sets below are in the query's component already.
+    Sets walk the tree of all. Overlaps with a shared path are counted once. A subtree is left when no
+    set below can reach the threshold with what remains of it and of the query, or when all sets below
+    are in the query's component already. Sets that are in the first walker's component when their turn
+    comes need not walk: any two such sets are in one component, and all others do walk.
     """
     if len(sets) == 2:
         a, b = sets
@@ -64,7 +73,10 @@ def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     trie = SetTrie(sets)
     label = np.arange(len(sets))  # by position in the tree
     inside = np.zeros(trie.universe, bool)
-    for q in range(len(sets)):
+    first = int(trie.central[0])
+    for q in trie.central.tolist():
+        if q != first and label[q] == label[first]:
+            continue
         query = trie.rows[q]
         inside[query] = True
         stack = [(0, len(sets), 0, 0)]
@@ -72,26 +84,40 @@ def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
             low, high, depth, overlap = stack.pop()
             if (label[low:high] == label[q]).all():
                 continue
+            if high - low <= BUNDLE:
+                at = trie.at[low : high + 1]
+                seen = np.concatenate([[0], np.cumsum(inside[trie.flat[at[0] : at[-1]]])])
+                at = at - at[0]
+                total = overlap + seen[at[1:]] - seen[at[:-1] + depth]
+                linked = (100 + percent) * total >= percent * (len(query) + trie.sizes[low:high])
+                label[np.isin(label, label[low:high][linked])] = label[q]
+                continue
             row = trie.rows[low]
-            end = len(row) if high - low == 1 else int(trie.shared[low : high - 1].min())
+            end = int(trie.shared[low : high - 1].min())
             overlap += int(inside[row[depth:end]].sum())
             left = len(query) - int(np.searchsorted(query, row[end - 1], "right")) if end else len(query)
             sizes = trie.sizes[low:high]
             best = int(min(max(end + left, sizes.min()), sizes.max()))
             if (100 + percent) * (overlap + min(best - end, left)) < percent * (len(query) + best):
                 continue
-            if high - low == 1:
-                label[label == label[low]] = label[q]
-                continue
             cuts = [low, *(low + 1 + np.flatnonzero(trie.shared[low : high - 1] == end)).tolist(), high]
-            stack += [(a, b, end, overlap) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(cuts) > 3:  # many branches here: take them in bundles, else each on its own
+                bundled, begin = [], cuts[0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if b - begin > BUNDLE and a > begin:
+                        bundled.append((begin, a))
+                        begin = a
+                bundled.append((begin, cuts[-1]))
+                stack += [(a, b, end, overlap) for a, b in bundled]
+            else:
+                stack += [(a, b, end, overlap) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         inside[query] = False
     order = np.array(trie.order)
-    first = {}
+    head: dict[int, int] = {}
     for position in np.argsort(order):
-        first.setdefault(int(label[position]), int(order[position]))
+        head.setdefault(int(label[position]), int(order[position]))
     out = np.empty(len(sets), np.int64)
-    out[order] = [first[int(x)] for x in label]
+    out[order] = [head[int(x)] for x in label]
     return out
 
 
@@ -263,33 +289,36 @@ def _canopies(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("canopy"))
 
 
-def _links(sets: DataFrame, percent: int, parts: int, task_members: int) -> DataFrame:
-    """a, b: edges with the components of all links between classes of a canopy."""
+def canopy_components(sets: DataFrame, percent: int, parts: int, task_members: int) -> DataFrame:
+    """node, component: the linked classes of canopies (canopy, cls, n, set); a class linked with none may be missing."""
     weight = sets.groupBy("canopy").agg(F.sum("n").alias("total"), F.min("cls").alias("leader"))
-    sets = sets.join(weight, "canopy")
-    ready = sets.where(F.col("total") <= task_members).withColumn("task", F.pmod(F.xxhash64("canopy"), F.lit(parts)))
-    links = materialize(ready.groupBy("task").applyInArrow(_join_group(percent), "a long, b long"))
-    hot = sets.where(F.col("total") > task_members).withColumn("blocks", F.expr(f"total div {task_members} + 1"))
-    if hot.isEmpty():
-        return links
+    pair = "a long, b long"
+    sized = materialize(weight.where(F.col("total") > task_members))
+    any_large = not sized.isEmpty()
+    ready = (sets.join(sized.select("canopy"), "canopy", "left_anti") if any_large else sets).withColumn("task", F.pmod(F.xxhash64("canopy"), F.lit(parts)))
+    stars = materialize(ready.groupBy("task").applyInArrow(_join_group(percent), pair))
+    done = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+    if not any_large:
+        return done
     # one canopy over many tasks: each block also gets the leader, so blocks of near copies hang together
+    hot = sets.join(sized, "canopy").withColumn("blocks", F.expr(f"total div {task_members} + 1"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    dealt = hot.withColumn("block", F.when(F.col("cls") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block)))
-    first = dealt.withColumn("block", F.explode("block")).groupBy("canopy", "block").applyInArrow(_join_group(percent), "a long, b long")
-    links = materialize(links.union(first))
+    dealt = hot.withColumn("block", F.explode(F.when(F.col("cls") == F.col("leader"), every("blocks")).otherwise(F.array(block))))
+    links = materialize(dealt.groupBy("canopy", "block").applyInArrow(_join_group(percent), pair))
     # what isn't yet in the leader's component meets every block; nothing else can add a link
     found = connected_components(links)
     own = hot.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lead = own.where("cls = leader").select("canopy", F.col("component").alias("led"))
     rest = own.join(lead, "canopy").where("component <> led")
-    if rest.isEmpty():
-        return links
-    chunks = rest.groupBy("canopy").agg((F.expr(f"sum(n) div {task_members}") + 1).alias("chunks"))
-    base = hot.join(chunks, "canopy").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    asked = rest.join(chunks, "canopy").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["canopy", "cls", "set", "block", "chunk"]
-    both = base.select(*columns).union(asked.select(*columns))
-    return materialize(links.union(both.groupBy("canopy", "block", "chunk").applyInArrow(_join_group(percent), "a long, b long")))
+    if not rest.isEmpty():
+        chunks = rest.groupBy("canopy").agg((F.expr(f"sum(n) div {task_members}") + 1).alias("chunks"))
+        base = hot.join(chunks, "canopy").withColumn("block", block).withColumn("chunk", F.explode(every("chunks")))
+        asked = rest.join(chunks, "canopy").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(every("blocks")))
+        columns = ["canopy", "cls", "set", "block", "chunk"]
+        both = base.select(*columns).union(asked.select(*columns))
+        found = connected_components(links.union(both.groupBy("canopy", "block", "chunk").applyInArrow(_join_group(percent), pair)))
+    return done.union(found)
 
 
 def jaccard_components(
@@ -332,8 +361,7 @@ def jaccard_components(
     few = canopy.count() <= 200_000
     sets = real.join(F.broadcast(wanted) if few else wanted, "doc_id").select("canopy", "cls", "text")
     sets = materialize(sets.mapInArrow(_fetch(words), "canopy long, cls long, n long, set binary"))
-    links = _links(sets, percent, parts, task_members)
-    linked = connected_components(links)
+    linked = canopy_components(sets, percent, parts, task_members)
     classes = reps.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest, "component").select("cls", "component_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orequarry.llm import textnum as T
 from orequarry.llm.components import connected_components, spanning_edges
-from orequarry.llm.jaccard_join import TASK_MEMBERS, _links, _rows
+from orequarry.llm.jaccard_join import TASK_MEMBERS, _rows, canopy_components
 from orequarry.llm.storage import materialize, shuffle_parts
 
 
@@ -162,7 +162,7 @@ def paragraph_duplicates(
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))  # at most the paragraphs of one document
     sets = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "wanted")
     sets = materialize(sets.mapInArrow(_fetch(words), "canopy long, cls long, n long, set binary"))
-    linked = connected_components(_links(sets, percent, parts, task_members)).withColumnRenamed("node", "cls")
+    linked = canopy_components(sets, percent, parts, task_members).withColumnRenamed("node", "cls")
     grouped = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     clusters = grouped.groupBy("component").agg(
         F.min("first").alias("head"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("copies").alias("n_copies")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orequarry.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, paragraph_dedup, quality, toxicity
+from orequarry.llm import bpe, exact_dedup, jaccard_join, language_id, language_model, mixing, paragraph_dedup, quality, toxicity, vector_search
 
 #: The vocabulary that op9 and the pipeline encode with.
 VOCABULARY = "word_bpe_49k.json"
@@ -47,6 +47,17 @@ def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (language_id.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_robust_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_search.nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = language_id.fold(F.col("doc_id"), 7)
+    made = language_model.lm_scores(_documents(spark, sf_dir), fold != 2)
+    return made.withColumn("held_out", fold == 2)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
@@ -63,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_quality_bradley_terry, op3_language_backoff, op4_exact_dedup, op5_toxicity_neighbours,
-        op8_source_mixing, op9_bpe, op10_paragraph_dedup,
+        op6_robust_graph_search, op7_language_model, op8_source_mixing, op9_bpe, op10_paragraph_dedup,
     )
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL}
