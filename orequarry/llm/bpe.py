@@ -245,10 +245,11 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return short.union(leaves.groupBy("row").applyInArrow(_join_leaves(path), _OUT))
 
 
-def bpe_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what bpe_encode() gives."""
+def bpe_digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids where asked, of what bpe_encode() gives."""
     return encoded.select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
