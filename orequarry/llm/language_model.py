@@ -277,7 +277,6 @@ def lm_scores(
     word_filter_bits: int = 1 << 27,
     pair_filter_bits: int = 1 << 28,
     hot_words: int = 1 << 18,
-    segments: int = 1024,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
@@ -294,7 +293,8 @@ def lm_scores(
     are left to the lower order. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    parts = min(segments, shuffle_parts(spark))
+    parts = shuffle_parts(spark)
+    segments = 1 << max(10, (parts - 1).bit_length())  # each belongs to one part
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("t"))
     bits = (word_filter_bits // segments, pair_filter_bits // segments)
     counted = rows.where("t").select("text").mapInArrow(_count(segments, parts), "kind int, part long, ks binary, ns binary")
