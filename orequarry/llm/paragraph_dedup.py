@@ -34,7 +34,8 @@ def sequence_digests(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A signed fingerprint of each row's word sequence; rows without words get any."""
     counts = np.diff(offsets)
     place = np.arange(len(words)) - np.repeat(offsets[:-1], counts)
-    total = np.concatenate([[0], np.cumsum(T.mix(words + T.mix(place.astype(np.uint64) + np.uint64(11))))]).astype(np.uint64)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(T.mix(words + T.mix(place.astype(np.uint64) + np.uint64(11))), out=total[1:])
     return T.mix(total[offsets[1:]] - total[offsets[:-1]] + counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
