@@ -38,3 +38,55 @@ def jaccard_components(rows: list[tuple[int, str | None]], k: int, percent: int)
             ra, rb = find(a), find(b)
             parent[max(ra, rb)] = min(ra, rb)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def exact_groups(rows: list[tuple]) -> dict:
+    """normalised text -> ids in order of staying."""
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is not None, i or 0, i))
+    return {k: [x[-1] for x in sorted(v)] for k, v in groups.items()}
+
+
+def mix_targets(sizes: dict, share: float, most: float, weights: tuple) -> dict:
+    """Resharing round by round until nothing is above its limit."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, free = dict.fromkeys(order, 0.0), share * sum(sizes.values()), set(order)
+    while free and left > 1e-9:
+        total = sum(w[s] for s in free)
+        give = {s: left * w[s] / total for s in free}
+        left = 0.0
+        for s in list(free):
+            target[s] += give[s]
+            if target[s] >= most * sizes[s] - 1e-12:
+                left += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+                free.discard(s)
+    return target
+
+
+def paragraph_clusters(rows: list[tuple], min_words: int, k: int, percent: int) -> dict:
+    """(doc_id, para) -> first of its cluster, for clusters in at least two documents."""
+    paras = {}
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            if i is not None and len(words(line)) >= min_words:
+                paras[i, n] = shingles(line, k)
+    keys = list(paras)
+    parent = {x: x for x in keys}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in enumerate(keys):
+        for y in keys[a + 1 :]:
+            if 100 * len(paras[x] & paras[y]) >= percent * len(paras[x] | paras[y]):
+                rx, ry = find(x), find(y)
+                parent[max(rx, ry)] = min(rx, ry)
+    members: dict = {}
+    for x in keys:
+        members.setdefault(find(x), []).append(x)
+    return {x: min(own) for own in members.values() if len({d for d, _ in own}) > 1 for x in own}
