@@ -23,21 +23,20 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[float, ...]) -> DataFrame:
     """source, source_size, weight, target: `share` of all words by weight, none above `most` times its size.
 
-    One row per source comes in. Sources fill up in order of most * size / weight; those that reach
-    their limit are full, and what is left goes to the others by weight, which is the fixed point of
-    resharing the excess. One pass of running sums replaces the loop.
+    One row per source comes in. In order of most * size / weight, let each source's level be what the
+    ones before it leave when full, by weight among the rest. The level rises while sources fill up and
+    falls after the first that doesn't, so its maximum is where resharing the excess comes to rest.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.withColumn("weight", w).withColumn("limit", F.lit(float(most)) * F.col("source_size"))
+    place = (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")
+    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place)).withColumn("limit", F.lit(float(most)) * F.col("source_size"))
     fill = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     upto, every = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(upto), F.lit(0.0))) / (
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     )
-    return ranked.withColumn("target", F.least("limit", F.greatest(F.lit(0.0), F.col("weight") * level))).select(
-        "source", "source_size", "weight", "target"
-    )
+    rest = ranked.withColumn("level", level).withColumn("level", F.max("level").over(every))
+    return rest.withColumn("target", F.least("limit", F.col("weight") * F.col("level"))).select("source", "source_size", "weight", "target")
 
 
 def slot_schedule(targets: DataFrame, slots: int) -> DataFrame:
