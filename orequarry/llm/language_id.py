@@ -96,6 +96,8 @@ def _count(batches):
                 for n, g in _grams(w[:256]):
                     own[n, g] += times
             rows = [(0, w[:256], c) for w, c in words.items()] + [(n, g, c) for (n, g), c in own.items()]
+            if not rows:  # no text of this language has a word
+                continue
             n, text, count = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(n, pa.int32()), pa.array(text), pa.array(count, pa.int64())], ["lang", "n", "gram", "count"])
         counts.clear()
