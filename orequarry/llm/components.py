@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orequarry.llm.storage import materialize
+from orequarry.llm.storage import materialize, shuffle_parts
+
+#: Forests of so many tasks are merged before the first round.
+MEET = 16
 
 
 def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +55,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     two = "u long, v long"
     start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = materialize(start.mapInArrow(_contract, two))
+    # edges of many tasks meet in fewer, so a large component comes as a few forests, not as one from each task
+    fewer = max(1, shuffle_parts(edges.sparkSession, 1) // MEET)
+    now = materialize(start.repartition(fewer).mapInArrow(_contract, two))
     while True:
         # done when every node points at one node that points nowhere
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
