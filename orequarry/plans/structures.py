@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orequarry.functions import scalars as X
 from orequarry.operators import clustering as K
 from orequarry.operators import features as E
 from orequarry.operators import graph as G
@@ -266,6 +267,24 @@ def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, a string, b string").select("n", Q.alignment_cost("a", "b").alias("cost"))
 
 
+#: Base strings, the positions that double them, and the cost of aligning the two results.
+GOLDEN = [
+    (1, "ACTG", [3, 6, 1, 1], "TACG", [1, 2, 9, 2], 1296),
+    (2, "ACTG", [3, 6, 1, 1], "TACG", [1, 2, 0], 1128),
+    (3, "AGTC", [0, 0, 0, 0, 0], "TACG", [1, 1, 1, 1, 1], 1980),
+    (4, "TCGA", [3, 7, 15, 31, 62], "TCGA", [3, 7, 15, 31, 63], 60),
+    (5, "ACGT", [3, 6, 1, 1, 5, 6, 7, 8, 9, 20], "TACG", [1, 2, 0, 4, 3, 2, 0, 5, 6, 17], 63996),
+]
+
+
+@BOOK.add("SELECT * FROM (VALUES " + ", ".join(f"({g[0]}, {4 << len(g[2])}, {4 << len(g[4])}, {g[5]}::BIGINT)" for g in GOLDEN) + ") AS t(n, length_a, length_b, cost)")
+def align_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings doubled by position, then aligned."""
+    rows = spark.createDataFrame([g[:5] for g in GOLDEN], "n int, a string, at_a array<int>, b string, at_b array<int>")
+    made = rows.select("n", X.doubled(F.col("a"), F.col("at_a")).alias("a"), X.doubled(F.col("b"), F.col("at_b")).alias("b"))
+    return made.select("n", F.length("a").alias("length_a"), F.length("b").alias("length_b"), Q.alignment_cost(F.col("a"), F.col("b")).alias("cost"))
+
+
 @BOOK.add("SELECT * FROM (VALUES (1, 30::BIGINT, 'ACGT', 'AC_T'), (2, 60, 'A_', '_C')) AS t(n, cost, aligned_a, aligned_b)")
 def align_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "ACGT", "ACT"), (2, "A", "C")]

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orequarry.functions.scalars import doubled
 from orequarry.sources import schemas
 
 
@@ -88,6 +89,16 @@ def draws(lines: DataFrame, key: str, batches: int, size: int, seed: int = 553)
     return asks.withColumn("index", pick).join(index, "index").select("batch_id", "seq", F.col(key).alias("value"))
 
 
+def read_generated(spark: SparkSession, path: str) -> DataFrame:
+    """a, b: two strings per file, each a line of letters and lines of positions that double it in turn."""
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    grow = lambda done, line: F.when(line.rlike("^[A-Za-z]+$"), F.concat(done, F.array(line))).otherwise(
+        F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(doubled(F.element_at(done, -1), F.array(line.cast("int")))))
+    )
+    made = spark.read.text(path, wholetext=True).select(F.aggregate(lines, F.array().cast("array<string>"), grow).alias("s"))
+    return made.select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
+
+
 def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -9,10 +9,6 @@ from orequarry.functions import scalars
 from orequarry.operators import clustering, features, graph, itemsets, learning, recommend, relational, sequences, similarity, sketches
 from orequarry.plans.structures import toy_edges
 
-#: Golden alignment costs by generated strings.
-GOLDEN = [(0, "", "", 0), (1, "A", "", 30), (2, "AC", "CA", 60), (3, "ACGT", "TGCA", 192)]
-
-
 def plain_cost(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     table[:, 0], table[0] = 30 * np.arange(len(a) + 1), 30 * np.arange(len(b) + 1)

@@ -39,8 +39,13 @@ def test_every_oracle_has_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
+def formatted(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = registry.QUERIES["pushed_filter"](spark, SF)._jdf.queryExecution().toString()
+    plan = formatted(registry.QUERIES["pushed_filter"](spark, SF))
     assert "GreaterThanOrEqual(l_quantity,45.0)" in plan
     scan = plan[plan.index("ReadSchema") :].split("\n")[0]
     assert "l_tax" not in scan and "l_partkey" not in scan

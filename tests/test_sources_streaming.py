@@ -72,3 +72,28 @@ def test_streams_equal_batch_forms(spark, tmp_path):
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("553"), F.col("event_id").cast("string"))), 1, 8), 16, 10).cast("long")
     want = everything.orderBy(draw, "event_id").limit(20).select("event_id")
     assert {r.id for r in sample.collect()} == {r.event_id for r in want.collect()}
+
+
+def test_generated_strings_and_measuring(spark, tmp_path):
+    from orequarry.operators.measure import measured
+
+    (tmp_path / "in.txt").write_text("ACTG\n3\n1\nTA\n0\n")
+    row = readers.read_generated(spark, f"{tmp_path}/in.txt").first()
+    assert (row.a, row.b) == ("ACACTGACTGTGACTG", "TTAA")
+    out, ms, kb = measured(lambda x: x + 1)(1)
+    assert out == 2 and ms >= 0 and kb > 0
+
+
+def test_models_and_reports_are_kept(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    table = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    writers.save_model(Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")]).fit(table), f"{tmp_path}/model")
+    assert list(readers.load_model(f"{tmp_path}/model").transform(table).first().v) == [1.0, 2.0]
+    writers.write_report(table, f"{tmp_path}/report")
+    assert json.loads(spark.read.text(f"{tmp_path}/report").first().value) == {"a": 1.0, "b": 2.0}
+    append = writers.append_batch(f"{tmp_path}/batches")
+    append(table, 0)
+    append(table, 1)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/batches").count() == 2
