@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orequarry.operators.scratch import cut_lineage
-from orequarry.operators.similarity import overlap
+from orequarry.operators.similarity import overlap_at_least
 
 
 def cooccurrence(sets: DataFrame, least: int) -> DataFrame:
     """src, dst both ways: ids that share at least `least` members; ids without a partner are no vertices."""
-    pairs = overlap(sets).where(F.col("shared") >= least)
+    pairs = overlap_at_least(sets, least)
     return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a"))
 
 

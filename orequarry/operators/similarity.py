@@ -47,6 +47,23 @@ def overlap(sets: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def overlap_at_least(sets: DataFrame, least: int) -> DataFrame:
+    """a < b, shared: pairs with at least `least` members in common.
+
+    Members are ordered by how many sets hold them, rarest first. Two such sets share a member among the first
+    size - least + 1 of either, so only those are join keys; common members bring no pairs together.
+    """
+    held = sets.groupBy("member").agg(F.count(F.lit(1)).alias("held"))
+    ordered = F.array_sort(F.collect_list(F.struct("held", "member")))
+    rows = sets.join(held, "member").groupBy("id").agg(ordered.alias("m")).where(F.size("m") >= least)
+    rows = rows.select("id", F.transform("m", lambda x: x["member"]).alias("m"))
+    keyed = rows.select("id", "m", F.explode(F.slice("m", F.lit(1), F.size("m") - (least - 1))).alias("key"))
+    other = keyed.select(F.col("id").alias("b"), F.col("m").alias("mb"), "key")
+    met = keyed.select(F.col("id").alias("a"), F.col("m").alias("ma"), "key").join(other, "key").where("a < b")
+    shared = F.size(F.array_intersect("ma", "mb"))
+    return met.select("a", "b", shared.cast("long").alias("shared")).where(F.col("shared") >= least).distinct()
+
+
 def jaccard(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, similarity from shared counts and set sizes."""
     sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
