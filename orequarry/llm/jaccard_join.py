@@ -13,10 +13,20 @@ from orequarry.llm import textnum as T
 from orequarry.llm.components import connected_components, spanning_edges
 from orequarry.llm.storage import materialize, shuffle_parts
 
-#: Share of the hash range whose shingles are counted first; it comes before the rest in the global order.
-LOW_SHARE = 0.25
 #: Set members (8 bytes each) that one task joins in memory; larger canopies are dealt to blocks.
-TASK_MEMBERS = 2_000_000
+TASK_MEMBERS = 1_000_000
+
+
+def low_share(percent: int) -> float:
+    """Share of the hash range whose shingles are counted, and come first in the global order.
+
+    It is a bit over twice the prefix, so that most sets fill their prefix with shingles that no other set holds.
+    """
+    return min(1.0, 0.022 * (100 - percent))
+
+
+def low_limit(percent: int) -> np.uint64:
+    return np.uint64(min(2**64 - 1, int(low_share(percent) * 2**64)))
 
 
 def prefix_length(n, percent: int):
@@ -125,24 +135,22 @@ def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
-    words, offsets = T.word_hashes(batch.column("text"))
-    yield from T.row_sets(*T.shingle_hashes(words, offsets, k))
+    for piece in T.slices(batch):
+        words, offsets = T.word_hashes(piece.column("text"))
+        yield from T.row_sets(*T.shingle_hashes(words, offsets, k))
 
 
 def _classes(k: int):
     def run(batches):
         for batch in batches:
-            sets = list(_sets(batch, k))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([T.set_digest(s) for s in sets], pa.int64())],
-                ["doc_id", "n", "cls"],
-            )
+            made = [(len(s), T.set_digest(s)) for s in _sets(batch, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[i] for m in made], pa.int64()) for i in (0, 1))], ["doc_id", "n", "cls"])
 
     return run
 
 
 def _emit(k: int, percent: int, parts: int):
-    limit = np.uint64(int(LOW_SHARE * 2**64))
+    limit = low_limit(percent)
 
     def run(batches):
         seen: set[int] = set()
@@ -154,11 +162,11 @@ def _emit(k: int, percent: int, parts: int):
                     continue
                 seen.add(digest)
                 low, p = int(np.searchsorted(own, limit)), prefix_length(n, percent)
-                own = own[:low] if low >= p else own
+                own = own[:low].copy() if low >= p else own  # a copy lets go of the rest
                 hashes.append(own)
                 for to, value in ((cls, digest), (size, n), (slack, low - p)):
                     to.append(value)
-            if len(seen) > 4_000_000:
+            if len(seen) > 500_000:
                 seen.clear()  # a class emitted twice is merged by the receiver
             if not hashes:
                 continue
@@ -204,7 +212,7 @@ def _shared_only(parts: int):
 
 def _prefix_keys(percent: int, parts: int):
     """Of each class the shingles of its prefix that others share; classes whose prefix is theirs alone drop out."""
-    limit = np.uint64(int(LOW_SHARE * 2**64))
+    limit = low_limit(percent)
 
     def run(table: pa.Table) -> pa.Table:
         c, h = T.unpacked(table["cs"], np.int64), T.unpacked(table["hs"], np.uint64)
@@ -246,7 +254,7 @@ def _key_edges(percent: int):
 
 def _fetch(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in T.slices(whole)):
             out = [(g, c, len(s), s.tobytes()) for g, c, s in zip(batch.column("canopy").to_pylist(), batch.column("cls").to_pylist(), _sets(batch, k), strict=True) if T.set_digest(s) == c]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["canopy", "cls", "n", "set"])
@@ -341,7 +349,7 @@ def jaccard_components(
 
     The join is exact up to collisions of 64-bit hashes:
     1. Texts with equal sets are one class, however many copies there are.
-    2. Shingles get a global order: a quarter of the hash range first, rarest first in each part, where
+    2. Shingles get a global order: a low part of the hash range first, rarest first in each part, where
        rarity is counted over all classes. Only the prefix that links must meet in is kept, and of it
        only shingles that another class holds; most classes drop out here.
     3. Classes that share such a key form canopies. Sets of a canopy are fetched from the texts and

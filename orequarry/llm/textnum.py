@@ -77,6 +77,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, raw
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `most` bytes of text, so that arrays of words stay small; a longer text is alone."""
+    at, _ = text_bytes(batch.column("text"))
+    low = 0
+    while low < len(batch):
+        high = min(len(batch), max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All words of all rows, A-Z lower-cased, as hashes in order, and the rows' offsets into them.
 
