@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no text, or no letter in it. The others stay as they are.
+    """Rejects documents without a language: no text, or no letter in it. The others stay as they are; rows without an id go.
 
     A model without languages (no labelled document) would reject all, so then only texts without a
     letter go.
@@ -50,7 +50,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     mixed = mixing.mix_sources(docs).where("size > 0 AND 2 * taken >= size")
     times = F.when(2 * F.col("taken") >= 3 * F.col("size"), 2).otherwise(1)
     chosen = mixed.select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times"))
-    repeated = docs.join(chosen, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    repeated = docs.select(*COLUMNS).join(chosen, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return repeated.select(*COLUMNS)
 
 

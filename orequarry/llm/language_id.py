@@ -17,67 +17,82 @@ LONGEST = 5
 #: Words that add evidence up to this number; more only make the mean more exact.
 EVIDENCE = 10
 UNKNOWN = "und"
-_CACHE = 300_000
-
-
-def _grams(word: str):
-    padded = f"^{word}$"
-    for n in range(1, LONGEST + 1):
-        for i in range(len(padded) - n + 1):
-            yield n, padded[i : i + n]
+#: Words whose scores a worker keeps.
+_CACHE = 200_000
 
 
 @dataclass
 class Model:
-    """Log frequencies by language; table 0 holds words, table n the n-grams."""
+    """Log frequencies by language; table 0 holds words, table n the n-grams. Tables give rows of one matrix."""
 
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]
-    floors: list[np.ndarray]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    tables: list[dict[str, int]]
+    values: np.ndarray
+    floors: np.ndarray
+    known: dict[str, int] = field(default_factory=dict)
+    rows: np.ndarray | None = None
 
     @classmethod
     def fit(cls, langs: list[str], rows: list[tuple[int, str, str, int]]) -> Model:
         """rows: (n, text, language, count)."""
         at = {x: i for i, x in enumerate(langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        order: list[int] = []
+        for n, text, _, _ in rows:
+            if text not in tables[n]:
+                tables[n][text] = len(order)
+                order.append(n)
+        counts = np.zeros((len(order), len(langs)))
         for n, text, lang, count in rows:
-            counts[n].setdefault(text, np.zeros(len(langs)))[at[lang]] += count
-        tables, floors = [], []
-        for table in counts:
-            total = sum(table.values(), np.zeros(len(langs))) + 0.5 * (len(table) + 1)
-            tables.append({k: np.log((v + 0.5) / total) for k, v in table.items()})
-            floors.append(np.log(0.5 / total))
-        return cls(langs, tables, floors)
+            counts[tables[n][text], at[lang]] += count
+        of, floors = np.array(order, np.int64), np.zeros((LONGEST + 1, len(langs)))
+        values = np.zeros(counts.shape, np.float32)
+        for n in range(LONGEST + 1):
+            total = counts[of == n].sum(0) + 0.5 * (len(tables[n]) + 1)
+            values[of == n] = np.log((counts[of == n] + 0.5) / total)
+            floors[n] = np.log(0.5 / total)
+        return cls(langs, tables, values, floors)
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of one word in every language, centred on their mean."""
-        known = self.tables[0].get(word)
-        if known is None:
-            padded, i, known = f"^{word}$"[:4096], 0, np.zeros(len(self.langs))
-            pieces = 0
+        row = self.tables[0].get(word)
+        if row is not None:
+            found = self.values[row].astype(float)
+        else:
+            padded, i, pieces, found = f"^{word}$"[:4096], 0, 0, np.zeros(len(self.langs))
             while i < len(padded):
                 for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                    piece = self.tables[n].get(padded[i : i + n])
-                    if piece is not None or n == 1:
-                        known = known + (self.floors[1] if piece is None else piece)
+                    row = self.tables[n].get(padded[i : i + n])
+                    if row is not None or n == 1:
+                        found = found + (self.floors[1] if row is None else self.values[row])
                         i, pieces = i + n, pieces + 1
                         break
-            known = known / max(1, pieces) * 1.5
-        return known - known.mean()
+            found = found / max(1, pieces) * 1.5
+        return found - found.mean()
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall((text or "").lower())
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        cache, total = self.cache, np.zeros(len(self.langs))
-        if len(cache) > _CACHE:
-            cache.clear()
-        for w, times in Counter(words).items():
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = self.word(w)
-            total += v * times
+        if self.rows is None:
+            self.rows = np.zeros((_CACHE, len(self.langs)), np.float32)
+        total, known, at, times = np.zeros(len(self.langs)), self.known, [], []
+        for w, n in Counter(words).items():
+            row = known.get(w)
+            if row is None and len(w) > 40:  # odd and long: not worth keeping
+                total += self.word(w) * n
+                continue
+            if row is None:
+                if len(known) == _CACHE:  # what was looked up so far is summed before the rows are used again
+                    total += np.array(times, float) @ self.rows[at] if at else 0.0
+                    known.clear()
+                    at, times = [], []
+                row = known[w] = len(known)
+                self.rows[row] = self.word(w)
+            at.append(row)
+            times.append(n)
+        if at:
+            total += np.array(times, float) @ self.rows[at]
         mean = total / len(words) * min(len(words), EVIDENCE)
         odds = np.exp(mean - mean.max())
         best = int(np.argmax(odds))  # ties: the language first in code point order
@@ -87,31 +102,37 @@ class Model:
 def _count(batches):
     """Per task and language, how often each word and n-gram occurs."""
     counts: dict[str, Counter] = {}
-    grams: dict[str, Counter] = {}
+
+    def table(lang: str, n: int, found: Counter):
+        size = len(found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * size, pa.string()), pa.array([n] * size, pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+            ["lang", "n", "gram", "count"],
+        )
 
     def out():
         for lang, words in counts.items():
-            own = grams.setdefault(lang, Counter())
-            for w, times in words.items():
-                for n, g in _grams(w[:256]):
-                    own[n, g] += times
-            rows = [(0, w[:256], c) for w, c in words.items()] + [(n, g, c) for (n, g), c in own.items()]
-            if not rows:  # no text of this language has a word
-                continue
-            n, text, count = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(n, pa.int32()), pa.array(text), pa.array(count, pa.int64())], ["lang", "n", "gram", "count"])
+            for w in [w for w in words if len(w) > 256]:  # a very long word counts by its first letters
+                words[w[:256]] += words.pop(w)
+            yield table(lang, 0, words)
+            for n in range(1, LONGEST + 1):  # one length at a time, to hold one table only
+                grams: Counter = Counter()
+                for w, times in words.items():
+                    padded = f"^{w}$"
+                    for i in range(len(padded) - n + 1):
+                        grams[padded[i : i + n]] += times
+                yield table(lang, n, grams)
         counts.clear()
-        grams.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
-        if sum(map(len, counts.values())) > 200_000:
-            yield from out()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            counts.setdefault(lang, Counter()).update(WORD.findall((text.as_py() or "").lower()))
+            if sum(map(len, counts.values())) > 50_000:
+                yield from out()
     yield from out()
 
 
-def train(docs: DataFrame, sample: int = 12_000, words: int = 30_000, grams: int = 10_000) -> Model:
+def train(docs: DataFrame, sample: int = 12_000, words: int = 20_000, grams: int = 8_000) -> Model:
     """From doc_id, text, lang: a fit on at most `sample` documents (smallest hashes of their ids).
 
     Per language the `words` most frequent words and `grams` most frequent n-grams of each length make
@@ -136,7 +157,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     point order. A model without languages answers `und` for all. Repeated rows are answered each;
     other columns are ignored; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.floors))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.values, model.floors))
 
     def run(batches):
         own = Model(*shared.value)
