@@ -4,7 +4,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import AWKWARD
+from awkward_rows import AWKWARD
 
 from orequarry.llm import components, exact_dedup, jaccard_join, paragraph_dedup
 from orequarry.llm import textnum as T

@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import AWKWARD
+from awkward_rows import AWKWARD
 from pyspark.sql import functions as F
 
 from orequarry.llm import language_id, language_model, quality, toxicity
