@@ -77,11 +77,13 @@ def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
 
 
 def lsh_pairs(sets: DataFrame, least: float, n: int, rows: int, universe: int) -> DataFrame:
-    """Pairs that collide in a band and pass the exact test; only the candidates' sets are compared."""
+    """Pairs that collide in a band and pass the exact test; a candidate brings its two sets as arrays."""
     found = candidate_pairs(bands(minhash_signatures(sets, n, universe), rows))
-    left = found.join(sets.select(F.col("id").alias("a"), "member"), "a")
-    shared = left.join(sets.select(F.col("id").alias("b"), "member"), ["b", "member"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return jaccard(shared, sets).where(F.col("similarity") >= least)
+    whole = sets.groupBy("id").agg(F.collect_set("member").alias("m"))
+    left, right = (whole.select(F.col("id").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("ma", "mb"))
+    similarity = shared / (F.size("ma") + F.size("mb") - shared)
+    return found.join(left, "a").join(right, "b").select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def precision_recall(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
