@@ -47,15 +47,6 @@ def forget() -> None:
 atexit.register(forget)
 
 
-def fresh(df: DataFrame, *wanted: str) -> str:
-    """A column name starting with the first wanted word that df does not have, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    name = wanted[0]
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def shuffle_parts(spark: SparkSession, times: int = 2) -> int:
     """How many packed parts to deal rows into; follows the session's shuffle partitions."""
     return max(16, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
