@@ -16,6 +16,10 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HASHES, BITS_PER_ITEM = 5, 8
 #: Weight of the lower order in the interpolation.
 BACKOFF = 0.4
+#: Up to so many pieces of the word filter stay loaded in a worker; more are loaded in turn.
+HELD = 4
+#: Stands for the level of a text's start.
+_FIRST = 255
 #: Tokens handled at a time.
 _SLICE = 400_000
 
@@ -32,15 +36,15 @@ def expected_count(level: np.ndarray) -> np.ndarray:
 
 def _places(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
     h = T.mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+    bits = np.asarray(bits, np.uint64)
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((h[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)) & np.uint64(0xFFFFFFFFFFFF)) % np.uint64(bits)
+    return ((h[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)) & np.uint64(0xFFFFFFFFFFFF)) % (bits[:, None] if bits.ndim else bits)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, int]:
     """A filter of `bits` bits with levels 1..q of each key, and the least count it holds.
 
-    If all levels don't fit at BITS_PER_ITEM, the rarest keys stay out: they are read as unseen and the
-    lower order answers for them.
+    If all levels don't fit at BITS_PER_ITEM, the rarest keys stay out and need a filter of their own.
     """
     q = levels(counts)
     least = 1
@@ -55,16 +59,25 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[byte
     return np.packbits(table).tobytes(), least
 
 
+def room(counts: np.ndarray) -> int:
+    """Bits of a filter that holds all levels of keys with these counts."""
+    return max(64, -(-int(levels(counts).sum()) * BITS_PER_ITEM // 64) * 64)
+
+
 def probe(filters: np.ndarray, segment_bits: int, keys: np.ndarray) -> np.ndarray:
     """Levels of the keys: the first missing level ends the probing. filters: all segments, one after the other."""
     segments = len(filters) * 8 // segment_bits
+    return probe_at(filters, (keys % np.uint64(segments)) * np.uint64(segment_bits), np.full(len(keys), segment_bits, np.uint64), keys)
+
+
+def probe_at(filters: np.ndarray, base: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys, each in the `bits` bits of filters from `base` on."""
     out = np.zeros(len(keys), np.int64)
     alive = np.arange(len(keys))
-    base = (keys % np.uint64(segments)) * np.uint64(segment_bits)
     level = 0
     while len(alive):
         level += 1
-        at = _places(keys[alive], level, segment_bits) + base[alive, None]
+        at = _places(keys[alive], level, bits[alive]) + base[alive, None]
         hit = ((filters[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
         alive = alive[hit]
         out[alive] = level
@@ -143,8 +156,8 @@ def _count(segments: int, parts: int):
     return run
 
 
-def _reduce(segments: int, parts: int, bits: tuple[int, int]):
-    """Exact counts of the words of a part; a filter segment of the words and pairs of each."""
+def _reduce(segments: int, parts: int, word_bits: int, pair_bits: int):
+    """Exact counts of the words of a part; of each segment a filter, of word_bits or more for words, for pairs one of pair_bits and one for the rest."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
@@ -153,12 +166,17 @@ def _reduce(segments: int, parts: int, bits: tuple[int, int]):
         start, _ = T.runs_of(k[order])
         k, c = k[order][start], np.add.reduceat(c[order].astype(np.int64), start)
         where = (k % np.uint64(segments)).astype(np.int64)
-        own = list(range(part, segments, parts))
-        made = [build_segment(k[where == s], c[where == s], bits[kind - 1]) for s in own]
+        own, made, rest = list(range(part, segments, parts)), [], []
+        for s in own:
+            keys, counts = k[where == s], c[where == s]
+            bits, least = build_segment(keys, counts, max(room(counts), word_bits) if kind == 1 else pair_bits)
+            made.append(bits)
+            rare = counts < least
+            rest.append(build_segment(keys[rare], counts[rare], room(counts[rare]))[0] if rare.any() else b"")
         exact = kind == 1
         histogram = np.bincount(levels(c), minlength=64)
         return pa.table({
-            "kind": pa.array([kind] * len(own), pa.int32()), "segment": pa.array(own, pa.int64()), "bits": pa.array([m[0] for m in made], pa.binary()),
+            "kind": pa.array([kind] * len(own), pa.int32()), "segment": pa.array(own, pa.int64()), "bits": pa.array(made, pa.binary()), "rest": pa.array(rest, pa.binary()),
             "part": pa.array([part] * len(own), pa.int64()), "tokens": pa.array([int(c.sum())] + [0] * (len(own) - 1), pa.int64()), "types": pa.array([len(k)] + [0] * (len(own) - 1), pa.int64()),
             "words": pa.array([k.tobytes() if exact else b""] + [b""] * (len(own) - 1), pa.binary()), "counts": pa.array([c.tobytes() if exact else b""] + [b""] * (len(own) - 1), pa.binary()),
             "histogram": pa.array([histogram.tolist()] + [[]] * (len(own) - 1), pa.list_(pa.int64())),
@@ -167,7 +185,7 @@ def _reduce(segments: int, parts: int, bits: tuple[int, int]):
     return run
 
 
-_REDUCED = "kind int, segment long, bits binary, part long, tokens long, types long, words binary, counts binary, histogram array<long>"
+_REDUCED = "kind int, segment long, bits binary, rest binary, part long, tokens long, types long, words binary, counts binary, histogram array<long>"
 
 
 def _at_least(least: int):
@@ -180,13 +198,44 @@ def _at_least(least: int):
     return run
 
 
+class WordFilter:
+    """The filter of all words in broadcast pieces of whole segments."""
+
+    def __init__(self, pieces: list, piece: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.pieces, self.piece, self.start, self.size = pieces, piece, start, size
+
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        segment = (keys % np.uint64(len(self.size))).astype(np.int64)
+        out = np.zeros(len(keys), np.int64)
+        for i, held in enumerate(self.pieces):
+            own = np.flatnonzero(self.piece[segment] == i)
+            if not len(own):
+                continue
+            at = segment[own]
+            out[own] = probe_at(np.frombuffer(held.value, np.uint8), self.start[at], self.size[at], keys[own])
+            if len(self.pieces) > HELD and getattr(held, "_path", None):  # can be loaded again
+                held.__dict__.pop("_value", None)
+        return out
+
+
+def log_probability(pair_level: np.ndarray, level: np.ndarray, history_level: np.ndarray, tokens: int, types: int, texts: int) -> np.ndarray:
+    """log10 of (1 - b) * c(h, w) / c(h) + b * P(w), counts from their levels; P(w) alone after an unseen h."""
+    count = expected_count(level)
+    low = (count + 1) / (tokens + types + 1)
+    first = history_level == _FIRST
+    history = np.where(first, float(texts), expected_count(np.where(first, 0, history_level)))
+    pair = np.minimum(expected_count(pair_level), np.minimum(history, np.maximum(count, 1.0)))
+    high = np.where(history > 0, pair / np.maximum(history, 1.0), 0.0)
+    return np.log10(np.where(history > 0, (1 - BACKOFF) * high + BACKOFF * low, low))
+
+
 class Scorer:
-    """What a worker needs: the frequent words with exact counts, and the two filters."""
+    """What a worker needs: the frequent words with exact counts, the words' filter, and that of the frequent pairs."""
 
-    def __init__(self, hot: bytes, hot_counts: bytes, words: bytes, pairs: bytes, word_bits: int, pair_bits: int, tokens: int, types: int, texts: int):
+    def __init__(self, hot: bytes, hot_counts: bytes, pairs: bytes, pair_bits: int, more: np.ndarray, tokens: int, types: int, texts: int, words: WordFilter):
         self.hot, self.hot_counts = np.frombuffer(hot, np.uint64), np.frombuffer(hot_counts, np.int64)
-        self.words, self.pairs = np.frombuffer(words, np.uint8), np.frombuffer(pairs, np.uint8)
-        self.word_bits, self.pair_bits, self.tokens, self.types, self.texts = word_bits, pair_bits, tokens, types, texts
+        self.words, self.pairs, self.pair_bits = words, np.frombuffer(pairs, np.uint8), pair_bits
+        self.more, self.tokens, self.types, self.texts = more, tokens, types, texts
 
     def exact(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of frequent words, and which tokens are none of them."""
@@ -196,77 +245,151 @@ class Scorer:
         tail = self.hot[at] != tokens
         return np.where(tail, 0, self.hot_counts[at]), tail
 
-    def log_probability(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of (1 - b) * c(h, w) / c(h) + b * P(w), counts read from the filters; P(w) alone after an unseen h."""
-        before, keys = _pairs(tokens, offsets)
+    def score(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log_probability of the tokens, 0 where the pair must be looked up in its part; where; and of those the keys and both levels."""
+        _, keys = _pairs(tokens, offsets)
         distinct, back = np.unique(tokens, return_inverse=True)
-        count = expected_count(probe(self.words, self.word_bits, distinct))[back]
-        low = (count + 1) / (self.tokens + self.types + 1)
-        history = np.concatenate([[0.0], count[:-1]])
-        history[offsets[:-1]] = self.texts
-        pair = expected_count(probe(self.pairs, self.pair_bits, keys))
-        pair = np.minimum(pair, np.minimum(history, np.maximum(count, 1.0)))
-        high = np.where(history > 0, pair / np.maximum(history, 1.0), 0.0)
-        return np.log10(np.where(history > 0, (1 - BACKOFF) * high + BACKOFF * low, low))
+        level = self.words.probe(distinct)[back]
+        history = np.concatenate([[0], level[:-1]])
+        history[offsets[:-1]] = _FIRST
+        pair = probe(self.pairs, self.pair_bits, keys)
+        ask = (pair == 0) & self.more[(keys % np.uint64(len(self.more))).astype(np.int64)]
+        ask &= np.where(history == _FIRST, self.texts, history) > 0  # after an unseen word the pair is not read
+        made = np.where(ask, 0.0, log_probability(pair, level, history, self.tokens, self.types, self.texts))
+        return made, ask, keys[ask], (history[ask] * 256 + level[ask]).astype(np.uint16)
+
+
+#: Kinds of packs: what is known of rows at once; rare words and pairs to look up.
+_ROWS, _WORDS, _RARE_PAIRS = 0, 1, 2
+_PACKS = "kind int, part long, start long, xs array<binary>"
+
+
+def _pack_batch(kind: int, part: np.ndarray, columns: list[np.ndarray], start: int = 0) -> pa.RecordBatch:
+    packs = list(T.packed(part, columns))
+    arrays = [pa.array([kind] * len(packs), pa.int32()), pa.array([p for p, _ in packs], pa.int64()), pa.array([start] * len(packs), pa.int64())]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([x for _, x in packs], pa.list_(pa.binary()))], ["kind", "part", "start", "xs"])
 
 
-def _score(shared, segments: int, parts: int):
+def _columns(table: pa.Table, dtypes: tuple) -> list[np.ndarray]:
+    xs = table["xs"].to_pylist()
+    return [np.frombuffer(b"".join(x[i] for x in xs), d) for i, d in enumerate(dtypes)]
+
+
+def _row_parts(rows: np.ndarray, parts: int) -> np.ndarray:
+    return (T.mix(rows.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _score(shared, pieces: list, segments: int, parts: int):
+    """Rows with what is read at once, and the rare words and pairs, with offsets of their rows, for where they were counted."""
+
     def run(batches):
-        scorer = Scorer(*shared.value)
+        *values, where = shared.value
+        scorer = Scorer(*values, WordFilter(pieces, *where))
         per_token = np.log10(float(scorer.tokens + scorer.types + 1))
         for batch in batches:
             rows, ids = batch.column("row").to_numpy(), batch.column("doc_id")
+            valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = ids.fill_null(0).to_numpy()
             for low, high, tokens, offsets in _slices(batch):
                 count, tail = scorer.exact(tokens)
-                n = np.diff(offsets)
+                n, own = np.diff(offsets), rows[low:high]
                 sums = lambda x: np.add.reduceat(x, offsets[:-1])
-                out = [
-                    pa.array(rows[low:high], pa.int64()), ids.slice(low, high - low), pa.array(n, pa.int64()), pa.array(sums((count > 0).astype(np.int64)), pa.int64()),
-                    pa.array(sums(np.log10(count + 1.0)) - n * per_token, pa.float64()), pa.array(sums(scorer.log_probability(tokens, offsets)), pa.float64()),
-                ]
-                empty = pa.nulls(high - low, pa.binary())
-                yield pa.RecordBatch.from_arrays([*out, pa.nulls(high - low, pa.int64()), empty, empty], _SCORED)
-                k, row = tokens[tail], np.repeat(rows[low:high], n)[tail]
-                packs = list(T.packed((k % np.uint64(segments)).astype(np.int64) % parts, [k, row]))
-                m = len(packs)
-                if m:
-                    none = [pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.float64())] * 2
-                    yield pa.RecordBatch.from_arrays([*none, pa.array([p for p, _ in packs], pa.int64()), *(pa.array([x[i] for _, x in packs], pa.binary()) for i in (0, 1))], _SCORED)
+                made, ask, pairs, at = scorer.score(tokens, offsets)
+                base = sums(np.log10(count + 1.0)) - n * per_token
+                yield _pack_batch(_ROWS, _row_parts(own, parts), [own, ids[low:high], valid[low:high], n.astype(np.int64), sums((count > 0).astype(np.int64)), base, sums(made)])
+                start = int(own[0])
+                row = np.repeat((own - start).astype(np.int32), n)
+                for kind, k, more in ((_WORDS, tokens[tail], [row[tail]]), (_RARE_PAIRS, pairs, [row[ask], at])):
+                    if len(k):
+                        yield _pack_batch(kind, (k % np.uint64(segments)).astype(np.int64) % parts, [k, *more], start)
 
     return run
 
 
-_SCORED = ["row", "doc_id", "n_tokens", "known", "base", "score", "part", "ks", "rs"]
+def _look_up(segments: int, parts: int, tokens: int, types: int, texts: int):
+    """Of one part: rare words in the exact counts, rare pairs in the rest of the filter, summed by text. Rows go through."""
+
+    def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        if not len(asked):
+            return pa.table({"kind": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "xs": pa.array([], pa.list_(pa.binary()))})
+        if kind == _ROWS:
+            return asked.select(["kind", "part", "start", "xs"])
+        k, offset, *at = _columns(asked, (np.uint64, np.int32) if kind == _WORDS else (np.uint64, np.int32, np.uint16))
+        times = np.array([len(x[0]) // 8 for x in asked["xs"].to_pylist()])
+        row = offset + np.repeat(asked["start"].to_numpy(), times)
+        if kind == _WORDS:
+            words, counts = T.unpacked(held["words"], np.uint64), T.unpacked(held["counts"], np.int64)
+            count = np.zeros(len(k), np.int64)
+            if len(words):
+                found = np.minimum(np.searchsorted(words, k), len(words) - 1)
+                count = np.where(words[found] == k, counts[found], 0)
+            row, value = row[count > 0], np.log10(count[count > 0] + 1.0)
+        else:
+            rest = [x.as_py() for x in held["rest"]]
+            sizes, start = np.zeros(segments, np.uint64), np.zeros(segments, np.uint64)
+            own = held["segment"].to_numpy()
+            sizes[own] = [len(x) * 8 for x in rest]
+            start[own] = np.cumsum([0] + [len(x) * 8 for x in rest])[:-1]
+            filters = np.frombuffer(b"".join(rest), np.uint8)
+            value = np.empty(len(k))
+            for low in range(0, len(k), _SLICE):
+                some = slice(low, low + _SLICE)
+                s = (k[some] % np.uint64(segments)).astype(np.int64)
+                level = probe_at(filters, start[s], sizes[s], k[some])
+                value[some] = log_probability(level, (at[0][some] & 255).astype(np.int64), (at[0][some] >> 8).astype(np.int64), tokens, types, texts)
+        order = np.lexsort((value, row))
+        first, length = T.runs_of(row[order])
+        total = np.add.reduceat(value[order], first) if len(first) else np.empty(0)
+        row = row[order][first]
+        return pa.Table.from_batches([_pack_batch(kind, _row_parts(row, parts), [row, length.astype(np.int64), total])])
 
+    return run
 
-def _tail(parts: int):
-    """Of one part: rare words of texts looked up in the exact counts, summed by text."""
 
-    def run(asked: pa.Table, exact: pa.Table) -> pa.Table:
-        k, row = T.unpacked(asked["ks"], np.uint64), T.unpacked(asked["rs"], np.int64)
-        words, counts = T.unpacked(exact["words"], np.uint64), T.unpacked(exact["counts"], np.int64)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, k), len(words) - 1)
-            count = np.where(words[at] == k, counts[at], 0)
-        else:
-            count = np.zeros(len(k), np.int64)
-        k, row, count = k[count > 0], row[count > 0], count[count > 0]
+def _by_row(train_tokens: int):
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        row, ids, valid, n, known, base, score = _columns(table.filter(pa.array(kind == _ROWS)), (np.int64, np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64))
         order = np.argsort(row, kind="stable")
-        start, length = T.runs_of(row[order])
-        if not len(start):
-            return pa.table({"part": pa.array([], pa.int64()), "rows": pa.array([], pa.binary()), "ns": pa.array([], pa.binary()), "bs": pa.array([], pa.binary())})
-        own, total = row[order][start], np.add.reduceat(np.log10(count[order] + 1.0), start)
-        packs = list(T.packed(T.mix(own.view(np.uint64)) % np.uint64(parts), [own, length.astype(np.int64), total]))
-        return pa.table({"part": pa.array([p for p, _ in packs], pa.int64()), **{name: pa.array([x[i] for _, x in packs], pa.binary()) for i, name in enumerate(("rows", "ns", "bs"))}})
+        row, ids, valid, n, known, base, score = (x[order] for x in (row, ids, valid, n, known, base, score))
+        for of, to in ((_WORDS, base), (_RARE_PAIRS, score)):
+            r, m, v = _columns(table.filter(pa.array(kind == of)), (np.int64, np.int64, np.float64))
+            if len(r):
+                order = np.lexsort((v, r))
+                start, _ = T.runs_of(r[order])
+                at = np.searchsorted(row, r[order][start])
+                to[at] += np.add.reduceat(v[order], start)
+                if of == _WORDS:
+                    known[at] += np.add.reduceat(m[order], start)
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64(), mask=valid == 0), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
+            "train_tokens": pa.array(np.full(len(row), train_tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
+        })
 
     return run
 
 
-def _by_row(table: pa.Table) -> pa.Table:
-    row, n, b = T.unpacked(table["rows"], np.int64), T.unpacked(table["ns"], np.int64), T.unpacked(table["bs"], np.float64)
-    order = np.lexsort((b, row))
-    start, _ = T.runs_of(row[order])
-    return pa.table({"row": row[order][start], "more_known": np.add.reduceat(n[order], start), "more_base": np.add.reduceat(b[order], start)})
+def _word_filter(reduced: DataFrame, segments: int, least: int, most: int) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words' filter as broadcasts of about `most` bits, one gathered at a time; piece, start and size of each segment."""
+    words = reduced.where("kind = 1")
+    piece, start, size = np.zeros(segments, np.int64), np.zeros(segments, np.uint64), np.full(segments, max(64, least), np.uint64)
+    for r in words.select("segment", (F.length("bits") * 8).alias("n")).collect():
+        size[r["segment"]] = r["n"]
+    pieces, low = [], 0
+    while low < segments:
+        ends = np.cumsum(size[low:])
+        high = low + max(1, int(np.searchsorted(ends, most, "right")))
+        start[low:high] = ends[: high - low] - size[low:high]
+        piece[low:high] = len(pieces)
+        whole = np.zeros(int(ends[high - low - 1]) // 8, np.uint8)
+        got = words.where(F.col("segment").between(low, high - 1)).select("segment", "bits").toArrow()  # at most `most` bits
+        for s, bits in zip(got["segment"].to_pylist(), got["bits"], strict=True):
+            at = int(start[s]) // 8
+            whole[at : at + int(size[s]) // 8] = np.frombuffer(bits.as_py(), np.uint8)
+        pieces.append(reduced.sparkSession.sparkContext.broadcast(whole.tobytes()))
+        low = high
+    return pieces, (piece, start, size)
 
 
 def lm_scores(
@@ -288,25 +411,27 @@ def lm_scores(
     n_known and base_score use exact counts over all training texts: those of the at most `hot_words`
     most frequent words are broadcast, the others are looked up where they were counted, each text's
     rare words dealt by hash. score is an interpolated bigram model that reads all its counts from two
-    log-frequency Bloom filters of fixed size. Their segments are built where the n-grams of a hash
-    range are counted, so no table of n-grams is gathered. When a segment is full its rarest n-grams
-    are left to the lower order. Words are compared by 64-bit hashes.
+    log-frequency Bloom filters, which grow with the counted n-grams: none is left out. Their segments
+    are built where the n-grams of a hash range are counted, so no table of n-grams is gathered. The
+    words' filter is broadcast in pieces of `word_filter_bits`. Of the pairs, the most frequent are
+    broadcast in `pair_filter_bits`; the others stay in filters where they were counted, and pairs not
+    found in the first are looked up there. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     segments = 1 << max(10, (parts - 1).bit_length())  # each belongs to one part
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("t"))
-    bits = (word_filter_bits // segments, pair_filter_bits // segments)
+    word_bits, bits = word_filter_bits // segments // 8 * 8, pair_filter_bits // segments // 8 * 8
     counted = rows.where("t").select("text").mapInArrow(_count(segments, parts), "kind int, part long, ks binary, ns binary")
-    reduced = materialize(counted.groupBy("kind", "part").applyInArrow(_reduce(segments, parts, bits), _REDUCED))
+    reduced = materialize(counted.groupBy("kind", "part").applyInArrow(_reduce(segments, parts, word_bits, bits), _REDUCED))
     sums = reduced.where("kind = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    filters = {}
-    for kind, size in ((1, bits[0]), (2, bits[1])):
-        whole = np.zeros(segments * size // 8, np.uint8)
-        got = reduced.where(F.col("kind") == kind).select("segment", "bits").toArrow()  # the filter: of fixed size
-        for segment, made in zip(got["segment"].to_pylist(), got["bits"], strict=True):
-            whole[segment * size // 8 : (segment + 1) * size // 8] = np.frombuffer(made.as_py(), np.uint8)
-        filters[kind] = whole.tobytes()
+    pieces, where = _word_filter(reduced, segments, word_bits, word_filter_bits)
+    pairs, more = np.zeros(segments * bits // 8, np.uint8), np.zeros(segments, bool)
+    got = reduced.where("kind = 2").select("segment", "bits", (F.length("rest") > 0).alias("more")).toArrow()  # at most pair_filter_bits
+    for segment, made, rest in zip(got["segment"].to_pylist(), got["bits"], got["more"].to_pylist(), strict=True):
+        pairs[segment * bits // 8 : (segment + 1) * bits // 8] = np.frombuffer(made.as_py(), np.uint8)
+        more[segment] = rest
+    del got
     exact = reduced.where("kind = 1 AND length(words) > 0").select("part", "words", "counts")
     histogram = [r["n"] for r in reduced.where("kind = 1").select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).orderBy("level").collect()]
     level, held = len(histogram), 0
@@ -317,15 +442,9 @@ def lm_scores(
     words, counts = T.unpacked(hot["words"], np.uint64), T.unpacked(hot["counts"], np.int64)
     order = np.argsort(words)
     texts = int(counts[words == END].sum()) if (words == END).any() else rows.where("t").count()
-    shared = spark.sparkContext.broadcast((words[order].tobytes(), counts[order].tobytes(), filters[1], filters[2], *bits, int(sums["n"]), int(sums["v"]), texts))
-    scored = materialize(rows.select("row", "doc_id", "text").mapInArrow(_score(shared, segments, parts), "row long, doc_id long, n_tokens long, known long, base double, score double, part long, ks binary, rs binary"))
-    asked = scored.where("part IS NOT NULL").select("part", "ks", "rs")
-    packs = asked.groupBy("part").cogroup(exact.groupBy("part")).applyInArrow(_tail(parts), "part long, rows binary, ns binary, bs binary")
-    more = packs.groupBy("part").applyInArrow(_by_row, "row long, more_known long, more_base double")
-    return scored.where("part IS NULL").join(more, "row", "left").select(
-        "doc_id", "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(sums["n"])).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    tokens, types = int(sums["n"]), int(sums["v"])
+    shared = spark.sparkContext.broadcast((words[order].tobytes(), counts[order].tobytes(), pairs.tobytes(), bits, more, tokens, types, texts, where))
+    scored = rows.select("row", "doc_id", "text").mapInArrow(_score(shared, pieces, segments, parts), _PACKS)
+    kept = reduced.where("length(words) > 0 OR length(rest) > 0").select("kind", "part", "segment", "rest", "words", "counts")
+    found = scored.groupBy("kind", "part").cogroup(kept.groupBy("kind", "part")).applyInArrow(_look_up(segments, parts, tokens, types, texts), _PACKS)
+    return found.groupBy("part").applyInArrow(_by_row(tokens), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -141,6 +141,37 @@ def test_language_model_counts_are_exact(awkward, hot_words):
     assert all(r.score < 0 for r in got)
 
 
+def quantised_lm(rows, trained):
+    """The bigram model on exact counts, rounded as the filters round them."""
+    rows = [(i, [*brute.words(t), None]) for i, t in rows]
+    one, two, texts = Counter(), Counter(), 0
+    for i, tokens in rows:
+        if trained(i):
+            texts += 1
+            one.update(tokens)
+            two.update(zip(["<"] + tokens[:-1], tokens, strict=True))
+    rounded = lambda c: float(language_model.expected_count(language_model.levels(np.array([c])))[0])
+    whole = sum(one.values()) + len(one) + 1
+    for i, tokens in rows:
+        score = 0.0
+        for h, w in zip(["<"] + tokens[:-1], tokens, strict=True):
+            count, history = rounded(one[w]), texts if h == "<" else rounded(one[h])
+            low = (count + 1) / whole
+            pair = min(rounded(two[h, w]), history, max(count, 1.0))
+            score += math.log10(0.6 * pair / history + 0.4 * low if history else low)
+        yield i, score / len(tokens)
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 16])
+def test_language_model_keeps_all_counts(documents, bits):
+    """Filters far smaller than the corpus lose no word and no pair."""
+    got = {r.doc_id: r.score / r.n_tokens for r in language_model.lm_scores(documents, F.col("doc_id") % 7 != 2, word_filter_bits=bits, pair_filter_bits=bits).collect()}
+    want = dict(quantised_lm([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()], lambda i: i % 7 != 2))
+    assert got.keys() == want.keys()
+    assert np.mean([abs(got[i] - want[i]) for i in want]) < 0.1
+    assert np.mean([abs(got[i] - want[i]) for i in want if i % 7 != 2]) < 0.04
+
+
 def test_language_model_without_rows(nothing, awkward):
     assert language_model.lm_scores(nothing, F.lit(True), word_filter_bits=1 << 18, pair_filter_bits=1 << 18).count() == 0
     untrained = language_model.lm_scores(awkward, F.lit(None).cast("boolean"), word_filter_bits=1 << 18, pair_filter_bits=1 << 18).collect()
