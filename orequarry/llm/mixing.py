@@ -59,6 +59,20 @@ def slot_schedule(targets: DataFrame, slots: int) -> DataFrame:
     return hit.select("source_key", "slot", (F.row_number().over(order) - 1).cast("long").alias("turn"))
 
 
+def whole_schedule(plan: DataFrame, dealt: DataFrame) -> DataFrame:
+    """source_key, slot, turn: the dealt slots that a source needs for its `need` blocks, and places for those it lacks.
+
+    A source gets a few slots more or less than its target asks for. A turn without a slot stands where
+    an even spread over the `used` slots has it, beside the slot that lies there.
+    """
+    asked = plan.where("need > 0").select("source_key", "need", "used")
+    have = dealt.groupBy("source_key").agg(F.count(F.lit(1)).alias("granted"))
+    lacks = asked.join(have, "source_key", "left").withColumn("granted", F.coalesce("granted", F.lit(0))).where("granted < need")
+    lacks = lacks.select("source_key", "need", "used", F.explode(F.sequence(F.col("granted"), F.col("need") - 1)).alias("turn"))
+    more = lacks.select("source_key", F.floor((F.col("turn") + 0.5) * F.col("used") / F.col("need")).alias("slot"), "turn")
+    return dealt.join(asked, "source_key").where("turn < need").select("source_key", "slot", "turn").unionByName(more)
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -78,8 +92,9 @@ def mix_sources(
 
     The documents of a source lie on its token axis in hash order. The axis is cut into blocks of
     equal tokens and wraps round, so a second pass takes each block again, in the same order. The
-    schedule deals slots to sources; a source's k-th slot takes its k-th block, so what a source gives
-    is its number of slots times the block, within a few blocks of its target. Positions are running sums in two steps (`ranges`
+    schedule deals slots to sources; a source's k-th slot takes its k-th block, the last one in part, so
+    a source gives its target, rounded to words, also where that is less than a block. A source with
+    fewer slots than blocks has the others beside slots of the even spread. Positions are running sums in two steps (`ranges`
     hash ranges per source, then inside a range), so no task ever holds a whole source.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
@@ -98,12 +113,11 @@ def mix_sources(
     targets = targets.withColumn("total", F.sum("target").over(every))
     # tokens of one slot: a fixed part of the mix, so the schedule stays as fine at any size
     targets = materialize(targets.withColumn("block", F.greatest(F.ceil(F.col("total") / slots), F.lit(1)).cast("long")))
-    turns = materialize(slot_schedule(targets, slots))
-    grants = turns.groupBy("source_key").agg(F.count(F.lit(1)).alias("granted"))
-    plan = targets.join(grants, "source_key", "left").select(
-        "source_key", "source_size", "target", "block",
-        F.least(F.coalesce("granted", F.lit(0)) * F.col("block"), F.floor(most * F.col("source_size"))).alias("end"),
-    )
+    end = F.least(F.round("target").cast("long"), F.floor(F.lit(float(most)) * F.col("source_size")))
+    plan = targets.select("source_key", "source_size", "target", "block", "total", end.alias("end"))
+    plan = plan.withColumn("need", F.expr("(end + block - 1) div block")).withColumn("used", F.ceil(F.col("total") / F.col("block")))
+    turns = materialize(whole_schedule(plan, materialize(slot_schedule(targets, slots))))
+    plan = plan.select("source_key", "source_size", "target", "block", "end")
     plan = F.broadcast(plan) if targets.limit(SMALL + 1).count() <= SMALL else plan
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.select("source_key", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
@@ -115,9 +129,9 @@ def mix_sources(
         .withColumn("low", F.col("range_start") + F.col("offset"))
         .withColumn("turn", F.expr("low div block"))
     )
-    # blocks are granted in axis order, so a document is taken as far as the granted axis covers it
+    # blocks are taken in axis order, so a document is taken as far as the end of the target covers it
     cover = lambda shift: F.greatest(F.lit(0), F.least(F.col("low") + F.col("size"), F.col("end") - shift) - F.col("low"))
     taken = cover(F.lit(0)) + cover(F.col("source_size"))
     return laid.join(turns, ["source_key", "turn"], "left").select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("slot").alias("first_slot")
+        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(F.col("low") < F.col("end"), F.col("slot")).alias("first_slot")
     )

@@ -48,6 +48,18 @@ def test_mix_on_awkward_rows(awkward, nothing):
     assert {r.taken for r in mixing.mix_sources(awkward.where("doc_id in (1, 2, 3)")).collect()} == {0}
 
 
+def test_sources_below_a_block_give_their_targets(spark, documents):
+    """Far fewer slots than sources, and blocks far above most targets."""
+    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('w ', 3 + int(id % 5)) AS text", "CASE WHEN id % 3 = 0 THEN 'large' ELSE concat('s', id div 2) END AS source")
+    for rows in (docs, documents):
+        check_mix(rows, lambda t: 1, slots=16)
+        check_mix(rows, lambda t: 1)
+    got = mixing.mix_sources(docs, slots=16).collect()
+    assert all((r.taken > 0) == (r.first_slot is not None) and (r.first_slot or 0) < 16 for r in got)
+    large = sorted(r.first_slot for r in got if r.source_size > 1000 and r.taken)
+    assert len(set(large)) > 1
+
+
 def test_slots_are_spread(spark):
     rows = [("a", 300, 600.0, 1000.0, 1), ("b", 300, 100.0, 1000.0, 1), ("c", 300, 300.0, 1000.0, 1)]
     targets = spark.createDataFrame(rows, "source_key string, source_size long, target double, total double, block long")
