@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,22 +118,24 @@ def modularity(edges: DataFrame, labels: DataFrame, label: str = "component", ha
     return total.select(((F.col("i") / 2 - F.col("dd") / 2 / F.col("w")) / F.col("w")).alias("modularity"))
 
 
-def girvan_newman(edges: DataFrame, max_rounds: int = 50, all_ties: bool = True, half_sum: bool = False) -> tuple[DataFrame, list[float]]:
+def girvan_newman(edges: DataFrame, max_rounds: int | None = None, all_ties: bool = True, half_sum: bool = False) -> tuple[DataFrame, list[float]]:
     """(id, component of the best partition; modularity of each round, the whole graph's components first).
 
     Betweenness is counted anew each round on what is left; modularity always on the original graph.
+    Rounds go on, also while nothing splits, until modularity falls or no edge is left; max_rounds stops earlier.
     """
     ids = cut_lineage(vertices(edges))
     left, best, scores = cut_lineage(edges), None, []
-    for _ in range(max_rounds + 1):
+    for done in count():
         found = components(left, ids)
         value = modularity(edges, found, half_sum=half_sum).first()["modularity"]
         if value is None:
             return found, scores
         if not scores or value > max(scores):
             best = found
+        falls = bool(scores) and value < scores[-1]
         scores.append(float(value))
-        if left.isEmpty():
+        if falls or done == max_rounds or left.isEmpty():
             break
         left = cut_lineage(cut_edges(left, edge_betweenness(left), all_ties))
     return best, scores

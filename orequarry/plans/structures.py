@@ -28,8 +28,8 @@ _PAIRS_SQL = f"""{SETS_SQL}, pairs AS (SELECT x.id AS src, y.id AS dst FROM sets
 edges AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs), vertices AS (SELECT DISTINCT src AS id FROM edges)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str, least: int = _SHARED) -> DataFrame:
-    return cut_lineage(G.cooccurrence(supplier_sets(spark, sf_dir), least))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(G.cooccurrence(supplier_sets(spark, sf_dir), _SHARED))
 
 
 @BOOK.add(f"WITH {_PAIRS_SQL} SELECT src, dst FROM edges")
@@ -121,7 +121,7 @@ def toy_property_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add()
 def girvan_newman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.girvan_newman(_edges(spark, sf_dir, 36), max_rounds=3)[0]
+    return G.girvan_newman(_edges(spark, sf_dir))[0]
 
 
 # --- sketches

@@ -62,6 +62,27 @@ def test_girvan_newman_scores(spark):
     assert 0 < half < max(scores)
 
 
+def test_girvan_newman_goes_on_until_modularity_falls(spark):
+    """Two groups of 5 joined by 4 edges that go one at a time: no split before the last is gone."""
+    inside = [(g + x, g + y) for g in (0, 5) for x in range(5) for y in range(x + 1, 5)]
+    edges = graph.both_directions(spark.createDataFrame(inside + [(0, 5), (1, 6), (2, 7), (3, 8)], "src long, dst long"))
+    best, scores = graph.girvan_newman(edges, all_ties=False)
+    assert {frozenset(r.members) for r in graph.communities(best, "component").collect()} == {frozenset(range(5)), frozenset(range(5, 10))}
+    assert scores[:4] == [0.0] * 4 and scores[-2] == max(scores) > scores[-1]
+
+
+def test_girvan_newman_goes_on_past_the_old_rounds(spark, monkeypatch):
+    """A graph that takes 60 rounds to split; betweenness is the order of the edges."""
+    n = 60
+    edges = graph.both_directions(spark.createDataFrame([(k, k + 1) for k in range(3)], "src long, dst long"))
+    values = iter([0.0] * n + [0.5, 0.2])
+    monkeypatch.setattr(graph, "modularity", lambda *a, **b: edges.limit(1).select(F.lit(next(values)).alias("modularity")))
+    monkeypatch.setattr(graph, "edge_betweenness", lambda e: e)
+    monkeypatch.setattr(graph, "cut_edges", lambda e, *a: e)
+    monkeypatch.setattr(graph, "components", lambda e, ids: ids)
+    assert graph.girvan_newman(edges)[1] == [0.0] * n + [0.5, 0.2]
+
+
 def test_graph_edge_cases(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert graph.components(none).count() == 0 and graph.edge_betweenness(none).count() == 0
