@@ -1,33 +1,58 @@
-"""Substring deduplication: paragraphs that meet in MinHash bands, exact Jaccard, removals by component."""
+"""Substring deduplication: paragraphs cut by content that meet in MinHash bands, exact Jaccard, removals by component."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orequarry.llm import textnum as T
 from orequarry.llm.components import connected_components, spanning_edges
-from orequarry.llm.jaccard_join import TASK_MEMBERS, _rows, canopy_components
+from orequarry.llm.jaccard_join import TASK_MEMBERS, canopy_components
+from orequarry.llm.membership import membership_filter
 from orequarry.llm.storage import materialize, shuffle_parts
 
+#: A paragraph begins at the smallest word-pair hash within so many words on each side.
+REACH = 6
+#: MinHash values in a band.
+ROWS = 2
+#: Paragraphs that a task holds before it hands them out combined.
+_HELD = 400_000
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-def tune_bands(threshold: float, recall: float, rows: int = 3) -> int:
+
+def tune_bands(threshold: float, recall: float, rows: int = ROWS) -> int:
     """The fewest bands of `rows` MinHash values that bring a pair at the threshold together with that recall."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
 
-def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of all texts, with the row of each, its number in the row and its first character."""
-    lists = pc.split_pattern(texts.fill_null(""), "\n")
-    lines, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
-    start, length = T.runs_of(row)
-    number = np.arange(len(row)) - np.repeat(start, length)
-    width = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    total = np.concatenate([[0], np.cumsum(width)])[:-1]
-    return lines, row, number, total - np.repeat(total[start], length)
+def cut_paragraphs(words: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the paragraphs into the words, and the row of each.
+
+    A paragraph begins with a row, and at each word whose hash with the word before it is smaller than
+    those of the `reach` words before and not larger than those of the `reach` after. So cuts depend on
+    words near by only, wherever lines end, and equal passages are cut alike but for their ends.
+    """
+    counts = np.diff(offsets)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return np.zeros(1, np.int64), np.empty(0, np.int64)
+    begins = offsets[:-1][full]
+    pair = np.full(len(words), _NONE)
+    pair[1:] = T.mix(words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:])
+    pair[begins] = _NONE
+    place = np.arange(len(words)) + reach * np.repeat(np.arange(1, len(full) + 1), counts[full])  # rows stand `reach` apart
+    wide = np.full(len(words) + reach * (len(full) + 1), _NONE)
+    wide[place] = pair
+    before, after = np.full(len(wide), _NONE), wide.copy()
+    for d in range(1, reach + 1):
+        before[d:] = np.minimum(before[d:], wide[:-d])
+        after[:-d] = np.minimum(after[:-d], wide[d:])
+    cut = ((wide < before) & (wide <= after))[place]
+    cut[begins] = True
+    start = np.flatnonzero(cut)
+    return np.concatenate([start, [len(words)]]), full[np.searchsorted(begins, start, "right") - 1]
 
 
 def sequence_digests(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -39,84 +64,150 @@ def sequence_digests(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return T.mix(total[offsets[1:]] - total[offsets[:-1]] + counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _list(min_words: int):
+def _numbered(row: np.ndarray) -> np.ndarray:
+    """The number of each paragraph in its row."""
+    start, length = T.runs_of(row)
+    return np.arange(len(row)) - np.repeat(start, length)
+
+
+def _first_of(cls: np.ndarray, doc: np.ndarray, para: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each class once: how often it occurs, and its smallest place."""
+    order = np.lexsort((para, doc, cls))
+    start, _ = T.runs_of(cls[order])
+    return cls[order][start], np.add.reduceat(times[order], start) if len(start) else times[:0], doc[order][start], para[order][start]
+
+
+def _list():
+    """Every paragraph of every row, with its place in words and characters."""
+
     def run(batches):
         for batch in (piece for whole in batches for piece in T.slices(whole)):
-            lines, row, number, first = paragraphs(batch.column("text"))
-            words, offsets = T.word_hashes(lines)
-            counts = np.diff(offsets)
-            keep = np.flatnonzero(counts >= min_words)
-            width = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
+            words, offsets, first, last = T.word_spans(batch.column("text"))
+            at, row = cut_paragraphs(words, offsets)
             arrays = [
-                batch.column("doc_id").take(pa.array(row[keep])), pa.array(number[keep], pa.int64()), pa.array(first[keep], pa.int64()),
-                pa.array(first[keep] + width[keep], pa.int64()), pa.array(counts[keep], pa.int64()), pa.array(sequence_digests(words, offsets)[keep], pa.int64()),
+                batch.column("doc_id").take(pa.array(row)), batch.column("sig").take(pa.array(row)), pa.array(_numbered(row), pa.int64()), pa.array(first[at[:-1]], pa.int64()),
+                pa.array(last[at[1:] - 1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sequence_digests(words, at), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "para", "start", "end", "n_words", "cls"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "para", "start", "end", "n_words", "cls"])
 
     return run
 
 
-def _bands(min_words: int, k: int, bands: int, rows: int, parts: int):
-    draw = np.random.default_rng(20)
+#: Kinds of packs: classes with their counts and places; band keys; edges that one task found.
+_CLASSES, _KEYS, _EDGES = 0, 1, 2
+_PACKS = "kind int, part long, a binary, b binary, c binary, d binary"
+
+
+def _packs(kind: int, part: np.ndarray, columns: list[np.ndarray]):
+    made = list(T.packed(part, columns))
+    if made:
+        of = lambda i: pa.array([c[i] if i < len(columns) else b"" for _, c in made], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(made), pa.int32()), pa.array([p for p, _ in made], pa.int64()), *map(of, range(4))], ["kind", "part", "a", "b", "c", "d"])
+
+
+def band_keys(grams: np.ndarray, at: np.ndarray, bands: int, rows: int = ROWS, seed: int = 20) -> list[np.ndarray]:
+    """One key of `rows` MinHash values per band for each row of shingle hashes."""
+    draw = np.random.default_rng(seed)
     a = draw.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    folded, keys = grams ^ (grams >> np.uint64(29)), []
+    for band in range(bands):
+        key = np.full(len(at) - 1, band + 1, np.uint64)
+        for j in range(band * rows, band * rows + rows):
+            key = T.mix(key + np.minimum.reduceat(folded * a[j], at[:-1]))
+        keys.append(key)
+    return keys
+
+
+def _emit(k: int, least: int, bands: int, parts: int):
+    """Of each task the classes with counts, and each band key once: classes that share one here are joined by edges at once."""
 
     def run(batches):
+        held: list[tuple] = []
         seen: set[int] = set()
+
+        def classes():
+            if held:
+                cls, times, doc, para = _first_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+                yield from _packs(_CLASSES, cls.view(np.uint64) % np.uint64(parts), [cls, times.astype(np.int32), doc, para.astype(np.int32)])
+
         for batch in (piece for whole in batches for piece in T.slices(whole)):
-            lines, *_ = paragraphs(batch.column("text"))
-            words, offsets = T.word_hashes(lines)
-            counts = np.diff(offsets)
-            cls = sequence_digests(words, offsets)
-            new = np.zeros(len(cls), bool)
-            for i in np.flatnonzero(counts >= min_words):
-                if (c := int(cls[i])) not in seen:
-                    seen.add(c)
-                    new[i] = True
-            if len(seen) > 500_000:
+            words, offsets = T.word_hashes(batch.column("text"))
+            at, row = cut_paragraphs(words, offsets)
+            if not len(row):
+                continue
+            cls, para = sequence_digests(words, at), _numbered(row)
+            held.append((cls, batch.column("doc_id").to_numpy()[row], para, np.ones(len(cls), np.int64)))
+            if sum(len(x[0]) for x in held) > _HELD:
+                yield from classes()
+            _, one = np.unique(cls, return_index=True)
+            new = np.array([i for i in np.sort(one).tolist() if (c := int(cls[i])) not in seen and not seen.add(c)], np.int64)
+            if len(seen) > _HELD:
                 seen.clear()  # a class sent twice is merged by the receiver
-            if not new.any():
+            if not len(new):
                 continue
-            inside = np.repeat(new, counts)
-            words, offsets = words[inside], np.concatenate([[0], np.cumsum(counts[new])])
-            grams, at = T.shingle_hashes(words, offsets, k)
-            keys = []
-            for band in range(bands):
-                key = np.full(len(at) - 1, band + 1, np.uint64)
-                for j in range(band * rows, band * rows + rows):
-                    key = T.mix(key + np.minimum.reduceat((grams ^ (grams >> np.uint64(29))) * a[j], at[:-1]))
-                keys.append(key)
-            flat, own = np.concatenate(keys), np.tile(cls[new], bands)
-            yield from _rows(T.packed(flat % np.uint64(parts), [flat, own]), "keys cs")
+            inside = np.zeros(len(cls), bool)
+            inside[new] = True
+            counts = np.diff(at)
+            grams, own = T.shingle_hashes(words[np.repeat(inside, counts)], np.concatenate([[0], np.cumsum(counts[inside])]), k)
+            made, mine = band_keys(grams, own, bands), cls[inside]
+            many = np.diff(own) >= least  # smaller sets are alike only if they are equal, and then meet in any band
+            flat, whose = np.concatenate([made[0], *(x[many] for x in made[1:])]), np.concatenate([mine, *([mine[many]] * (bands - 1))])
+            order = np.argsort(flat, kind="stable")
+            flat, whose = flat[order], whose[order]
+            start, length = T.runs_of(flat)
+            head = np.repeat(whose[start], length)
+            apart = head != whose
+            if apart.any():
+                a, b = spanning_edges(whose[apart], head[apart])
+                yield from _packs(_EDGES, a.view(np.uint64) % np.uint64(parts), [a, b])
+            yield from _packs(_KEYS, flat[start] % np.uint64(parts), [flat[start], whose[start]])
+        yield from classes()
 
     return run
 
 
-def _collisions(table: pa.Table) -> pa.Table:
-    """Edges that join the classes of each band key."""
-    key, c = T.unpacked(table["keys"], np.uint64), T.unpacked(table["cs"], np.int64)
-    order = np.lexsort((c, key))
-    key, c = key[order], c[order]
-    same = (key[1:] == key[:-1]) & (c[1:] != c[:-1])
-    a, b = spanning_edges(c[:-1][same], c[1:][same])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    """Classes that occur more than once, with count and smallest place; edges that join the classes of each band key."""
+    kind = key[0].as_py()
+    if kind == _CLASSES:
+        cls, times, doc, para = (T.unpacked(table[x], t) for x, t in zip("abcd", (np.int64, np.int32, np.int64, np.int32), strict=True))
+        cls, times, doc, para = _first_of(cls, doc, para, times.astype(np.int64))
+        keep = times > 1
+        columns = [cls[keep], times[keep], doc[keep], para[keep].astype(np.int64)]
+    else:
+        a, b = (T.unpacked(table[x], np.int64) for x in "ab")
+        if kind == _KEYS:
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            same = (a[1:] == a[:-1]) & (b[1:] != b[:-1])
+            a, b = b[:-1][same], b[1:][same]
+        a, b = spanning_edges(a, b)
+        columns = [a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
+    return pa.table({"kind": pa.array([min(kind, _KEYS)] * len(columns[0]), pa.int32())} | {x: pa.array(c, pa.int64()) for x, c in zip("abcd", columns, strict=True)})
+
 
+def _sets_of(k: int, shared, bits: int):
+    """Of the classes in the filter: set, and of each piece of text count and smallest place."""
 
-def _fetch(k: int):
     def run(batches):
+        filters = np.frombuffer(shared.value, np.uint8)
         for batch in (piece for whole in batches for piece in T.slices(whole)):
-            lines, row, number, _ = paragraphs(batch.column("text"))
-            wanted = batch.column("wanted").to_pylist()
-            index = {(r, n): i for i, (r, n) in enumerate(zip(row.tolist(), number.tolist(), strict=True))}
-            picks = [(index[r, w["para"]], w["cls"], w["canopy"]) for r, own in enumerate(wanted) for w in own if (r, w["para"]) in index]
-            if not picks:
+            words, offsets = T.word_hashes(batch.column("text"))
+            at, row = cut_paragraphs(words, offsets)
+            cls, para = sequence_digests(words, at), _numbered(row)
+            hit = np.flatnonzero(T.maybe_members(filters, bits, cls)) if len(cls) else np.empty(0, np.int64)
+            if not len(hit):
                 continue
-            chosen = lines.take(pa.array([p[0] for p in picks]))
-            words, offsets = T.word_hashes(chosen)
-            cls = sequence_digests(words, offsets)
-            sets = T.row_sets(*T.shingle_hashes(words, offsets, k))
-            out = [(canopy, c, len(s), s.tobytes()) for (_, c, canopy), s, own in zip(picks, sets, cls.tolist(), strict=True) if own == c]
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["canopy", "cls", "n", "set"])
+            doc = batch.column("doc_id").to_numpy()[row[hit]]
+            names, times, docs, paras = _first_of(cls[hit], doc, para[hit], np.ones(len(hit), np.int64))
+            _, one = np.unique(cls, return_index=True)
+            one = one[np.isin(cls[one], names)]  # in the order of names
+            counts = np.diff(at)
+            inside = np.concatenate([np.arange(at[i], at[i + 1]) for i in one])
+            sets = list(T.row_sets(*T.shingle_hashes(words[inside], np.concatenate([[0], np.cumsum(counts[one])]), k)))
+            arrays = [pa.array(x, pa.int64()) for x in (names, times, docs, paras, [len(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "copies", "doc_id", "para", "n", "set"])
 
     return run
 
@@ -128,60 +219,82 @@ def paragraph_duplicates(
     min_words: int = 20,
     words: int = 5,
     percent: int = 80,
-    recall: float = 0.9998,
+    recall: float = 0.999,
     task_members: int = TASK_MEMBERS,
-    runs: int = 64,
 ) -> DataFrame:
-    """doc_id, para, start, end, n_words, cluster_doc, cluster_para, n_copies, removed: one row per repeated paragraph.
-
-    Paragraphs are lines of at least `min_words` words; start and end count characters of the text.
-    Two are alike when 100 * |A and B| >= percent * |A or B| over their distinct shingles of `words`
-    words (A-Z lower-cased). A cluster is a component of alike paragraphs in at least two documents;
-    its first paragraph (smallest doc_id, then para) stays, the others are removed. Null, empty and
-    blank texts have no paragraphs; rows without an id take no part; rows that repeat an id are one
-    document; other columns are ignored; no repeats or no rows give no rows.
-
-    Equal paragraphs are one class. Classes meet in bands of three MinHash values, as many as the
-    recall asks for. Those that meet, directly or through others, form a canopy, and exact Jaccard is
-    decided there by a prefix tree, large canopies in blocks.
+    """doc_id, para, paras, start, end, n_words, cluster_doc, cluster_para, n_copies, removed, text_hash: one row per stretch of repeated text.
+
+    Texts are cut into paragraphs by content (see cut_paragraphs: about nine words, seven or more but at
+    the ends of a text), so a passage is cut alike in every text, inside a line or across lines. Two
+    paragraphs are alike when 100 * |A and B| >= percent * |A or B| over their distinct shingles of
+    `words` words (A-Z lower-cased). A cluster is a component of alike paragraphs; its first place
+    (smallest doc_id, then number in the text) stays, the others are to be removed. Neighbouring
+    repeated paragraphs of a text make a chain; chains of at least `min_words` words are given, cut where
+    removed changes: the first paragraph and their number, first character and the one after the last,
+    the cluster's first place, the most copies of a paragraph in it. Repeats inside one text count as
+    those across texts. text_hash (xxhash64 of the text) tells rows apart that repeat an id.
+
+    Null, empty and blank texts have no paragraphs; rows without an id take no part; a row that repeats
+    id and text is a repeat whose places are the same, so the first stays in both; other columns are
+    ignored; no repeats or no rows give no rows.
+
+    Equal paragraphs are one class, counted in each task first, so a passage in very many texts is not
+    gathered. Classes meet in bands of two MinHash values, as many as the recall asks for; a task gives
+    each band key once. Those that meet, directly or through others, form a canopy; their sets are read
+    from the texts through a broadcast membership filter of fixed size, and exact Jaccard is decided by
+    a prefix tree, large canopies in blocks.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    listed = materialize(rows.mapInArrow(_list(min_words), "doc_id long, para long, start long, end long, n_words long, cls long"))
-    listed = listed.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
-    met = rows.mapInArrow(_bands(min_words, words, tune_bands(percent / 100, recall), 3, parts), "part long, keys binary, cs binary")
-    edges = met.groupBy("part").applyInArrow(_collisions, "a long, b long")
-    canopy = materialize(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("canopy")))
-    place = F.struct("doc_id", "para")
-    leaves = listed.groupBy("cls", "run").agg(
-        F.min(place).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies")
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("sig")
     )
-    classes = leaves.groupBy("cls").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("copies").alias("copies"))
-    wanted = canopy.join(classes, "cls").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.para").alias("para"), "cls", "canopy").alias("w"))
-    few = canopy.count() <= 200_000
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))  # at most the paragraphs of one document
-    sets = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "wanted")
-    sets = materialize(sets.mapInArrow(_fetch(words), "canopy long, cls long, n long, set binary"))
-    linked = canopy_components(sets, percent, parts, task_members).withColumnRenamed("node", "cls")
-    grouped = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    clusters = grouped.groupBy("component").agg(
-        F.min("first").alias("head"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("copies").alias("n_copies")
-    )
-    named = grouped.select("cls", "component").join(clusters.where("low < high"), "component").select("cls", "head", "n_copies")
-    per_run = leaves.select("cls", "run").join(named, "cls")
-    return listed.join(per_run, ["cls", "run"]).select(
-        "doc_id", "para", "start", "end", "n_words",
-        F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), "n_copies",
-        (F.struct("doc_id", "para") != F.col("head")).alias("removed"),
+    least = -(-percent // max(1, 100 - percent))
+    emitted = rows.select("doc_id", "text").mapInArrow(_emit(words, least, tune_bands(percent / 100, recall), parts), _PACKS)
+    merged = materialize(emitted.groupBy("kind", "part").applyInArrow(_merge, "kind int, a long, b long, c long, d long"))
+    canopy = materialize(connected_components(merged.where(F.col("kind") == _KEYS).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("canopy")))
+    shared, bits = membership_filter(canopy.select(F.col("cls").alias("key")), canopy.count())
+    kind = "cls long, copies long, doc_id long, para long, n long, set binary"
+    place = F.struct("doc_id", "para")
+    sets = rows.select("doc_id", "text").mapInArrow(_sets_of(words, shared, bits), kind).groupBy("cls").agg(
+        F.sum("copies").alias("copies"), F.min(place).alias("first"), F.first("n").alias("n"), F.first("set").alias("set")
+    )
+    sets = materialize(sets.join(canopy, "cls"))
+    linked = canopy_components(sets.select("canopy", "cls", "n", "set"), percent, parts, task_members).withColumnRenamed("node", "cls")
+    met = sets.select("cls", "copies", "first").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    equal = merged.where(F.col("kind") == _CLASSES).select(F.col("a").alias("cls"), F.col("b").alias("copies"), F.struct(F.col("c").alias("doc_id"), F.col("d").alias("para")).alias("first"))
+    alone = equal.join(canopy.select("cls"), "cls", "left_anti").select("cls", "copies", F.col("first").alias("head"), F.col("copies").alias("n_copies"))
+    met = materialize(met)
+    clusters = met.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("n_copies")).where("n_copies > 1")
+    named = alone.select("cls", "head", "n_copies").union(met.join(clusters, "component").select("cls", "head", "n_copies"))
+    listed = rows.mapInArrow(_list(), "doc_id long, sig long, para long, start long, end long, n_words long, cls long")
+    return chains(listed.join(named, "cls"), min_words)
+
+
+def chains(repeats: DataFrame, min_words: int) -> DataFrame:
+    """Neighbouring repeated paragraphs of each text as one row, where they have at least min_words words."""
+    text = ["doc_id", "sig"]
+    own = Window.partitionBy(*text).orderBy("para")
+    once = repeats.repartition(*text).withColumn("again", F.row_number().over(Window.partitionBy(*text, "para").orderBy("start"))).where("again = 1")
+    marked = once.withColumn("removed", F.struct("doc_id", "para") != F.col("head"))
+    begins = F.coalesce(F.lag("para").over(own) != F.col("para") - 1, F.lit(True))
+    turns = begins | F.coalesce(F.lag("removed").over(own) != F.col("removed"), F.lit(True))
+    marked = marked.withColumn("begins", begins.cast("long")).withColumn("turns", turns.cast("long"))
+    marked = marked.withColumn("chain", F.sum("begins").over(own)).withColumn("stretch", F.sum("turns").over(own))
+    marked = marked.withColumn("whole", F.sum("n_words").over(Window.partitionBy(*text, "chain"))).where(F.col("whole") >= min_words)
+    out = marked.groupBy(*text, "stretch").agg(
+        F.min("para").alias("para"), F.count(F.lit(1)).alias("paras"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
+        F.min("head").alias("head"), F.max("n_copies").alias("n_copies"), F.first("removed").alias("removed"),
     )
+    return out.select("doc_id", "para", "paras", "start", "end", "n_words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), "n_copies", "removed", F.col("sig").alias("text_hash"))
 
 
 def remove_spans(docs: DataFrame, duplicates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed paragraphs cut out of the text; the other columns stay as they are."""
-    gone = duplicates.where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains("__gone", s["i"]))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    joined = docs.join(gone, docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    """docs with the removed stretches cut out of the text; the other columns, and texts without any, stay as they are."""
+    gone = duplicates.where("removed").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
+    text, n = F.col(text_col), F.size("__gone")
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__gone", i - 1)["end"])
+    end = lambda i: F.when(i == n, F.char_length(text)).otherwise(F.get("__gone", i)["start"])
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substr(text, (begin(i) + 1).cast("int"), (end(i) - begin(i)).cast("int")))
+    joined = docs.join(gone, (docs[id_col] == F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__hash")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(pieces, ""))).select(*docs.columns)

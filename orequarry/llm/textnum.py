@@ -40,8 +40,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_piece(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of raw (lower-cased bytes); starts: offsets where a document begins."""
+def _hash_piece(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of raw (lower-cased bytes); starts: offsets where a document begins."""
     word = ~_WHITE[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[starts] = True
@@ -51,7 +51,7 @@ def _hash_piece(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     before[1:] = word[:-1]
     first = np.flatnonzero(word & (~before | cut[:-1]))
     if not len(first):
-        return np.empty(0, np.uint64), first
+        return np.empty(0, np.uint64), first, first
     after = np.empty(len(raw), bool)
     after[-1] = False
     after[:-1] = word[1:]
@@ -59,7 +59,7 @@ def _hash_piece(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=total[1:])
     h = (total[last] - total[first]) * _power(_INVERSE, len(raw))[first]
-    return mix(h + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first
+    return mix(h + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first, last
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +87,12 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         low = high
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All words of all rows, A-Z lower-cased, as hashes in order, and the rows' offsets into them.
+def _words(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word, A-Z lower-cased; at: where rows begin in raw.
 
-    Bytes are hashed PIECE at a time, cut at white space, so memory beyond the words' own 8 bytes is
+    Bytes are hashed PIECE at a time, cut at white space, so memory beyond the words' own 24 bytes is
     bounded unless one word is longer than a piece.
     """
-    at, raw = text_bytes(column)
     found, where, low = [], [], 0
     while low < len(raw):
         high = min(len(raw), low + PIECE)
@@ -108,13 +107,31 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 break
             high = min(len(raw), high + PIECE)
         begins = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
-        h, first = _hash_piece(_LOWER[raw[low:high]], begins)
+        h, first, last = _hash_piece(_LOWER[raw[low:high]], begins)
         found.append(h)
-        where.append(first + low)
+        where.append((first + low, last + low))
         low = high
-    hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-    places = np.concatenate(where) if where else np.empty(0, np.int64)
-    return hashes, np.searchsorted(places, at)
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(found), np.concatenate([x for x, _ in where]), np.concatenate([x for _, x in where])
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All words of all rows, A-Z lower-cased, as hashes in order, and the rows' offsets into them."""
+    at, raw = text_bytes(column)
+    hashes, first, _ = _words(at, raw)
+    return hashes, np.searchsorted(first, at)
+
+
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and the first character of each word in its row and the one after its last."""
+    at, raw = text_bytes(column)
+    hashes, first, last = _words(at, raw)
+    offsets = np.searchsorted(first, at)
+    chars = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
+    before = np.repeat(chars[at[:-1]], np.diff(offsets))
+    return hashes, offsets, chars[first] - before, chars[last] - before
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +200,23 @@ def unpacked(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype)
 
 
+#: Probes of a membership filter.
+_PROBES = 4
+
+
+def member_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of a membership filter of `bits` bits that each key sets."""
+    h = mix(keys.view(np.uint64) ^ np.uint64(0x6D656D62657273))
+    return (h[:, None] + ((h >> np.uint64(32)) | np.uint64(1))[:, None] * np.arange(_PROBES, dtype=np.uint64)) % np.uint64(bits)
+
+
+def maybe_members(filters: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter: all that are, and a few others. filters: packed bits of all segments, `bits` in each."""
+    segments = len(filters) * 8 // bits
+    at = member_places(keys, bits) + ((keys.view(np.uint64) % np.uint64(segments)) * np.uint64(bits))[:, None]
+    return ((filters[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
+
+
 def runs_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of equal values."""
     if not len(sorted_values):

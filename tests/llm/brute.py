@@ -66,27 +66,65 @@ def mix_targets(sizes: dict, share: float, most: float, weights: tuple) -> dict:
     return target
 
 
-def paragraph_clusters(rows: list[tuple], min_words: int, k: int, percent: int) -> dict:
-    """(doc_id, para) -> first of its cluster, for clusters in at least two documents."""
-    paras = {}
-    for i, t in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            if i is not None and len(words(line)) >= min_words:
-                paras[i, n] = shingles(line, k)
-    keys = list(paras)
-    parent = {x: x for x in keys}
+def cut(text: str | None, reach: int, pair_hash) -> list[list[str]]:
+    """Paragraphs as lists of words: a word begins one where its hash with the word before is a first minimum near by."""
+    own = words(text)
+    if not own:
+        return []
+    h = [None] + [pair_hash(a, b) for a, b in zip(own, own[1:], strict=False)]
+    out = [[own[0]]]
+    for i in range(1, len(own)):
+        before = [x for x in h[max(1, i - reach) : i]]
+        after = h[i + 1 : i + reach + 1]
+        if all(h[i] < x for x in before) and all(h[i] <= x for x in after):
+            out.append([])
+        out[-1].append(own[i])
+    return out
+
+
+def repeated_chains(rows: list[tuple], min_words: int, k: int, percent: int, reach: int, pair_hash) -> list[tuple]:
+    """(doc_id, para, paras, n_words, cluster_doc, cluster_para, n_copies, removed) of each stretch of repeated paragraphs."""
+    paras = {(r, i, n): p for r, (i, t) in enumerate(rows) if i is not None for n, p in enumerate(cut(t, reach, pair_hash))}
+    sets = {x: shingles(" ".join(p), k) for x, p in paras.items()}
+    parent = {x: x for x in paras}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, x in enumerate(keys):
-        for y in keys[a + 1 :]:
-            if 100 * len(paras[x] & paras[y]) >= percent * len(paras[x] | paras[y]):
-                rx, ry = find(x), find(y)
-                parent[max(rx, ry)] = min(rx, ry)
+    holders: dict = {}
+    for x, own in sets.items():
+        for g in own:
+            holders.setdefault(g, []).append(x)
+    for a, b in {(a, b) for own in holders.values() for p, a in enumerate(own) for b in own[p + 1 :]}:
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            ra, rb = find(a), find(b)
+            parent[max(ra, rb)] = min(ra, rb)
     members: dict = {}
-    for x in keys:
+    for x in paras:
         members.setdefault(find(x), []).append(x)
-    return {x: min(own) for own in members.values() if len({d for d, _ in own}) > 1 for x in own}
+    found = {x: (min(y[1:] for y in own), len(own)) for own in members.values() if len(own) > 1 for x in own}
+    out, seen = [], set()
+    for r, row in enumerate(rows):
+        if row in seen:
+            continue
+        seen.add(row)
+        chain: list = []
+        for n in range(10**6):
+            x = (r, row[0], n)
+            if x in found:
+                chain.append(x)
+                continue
+            if sum(len(paras[y]) for y in chain) >= min_words:
+                stretch: list = []
+                for y in [*chain, None]:
+                    if stretch and (y is None or (found[y][0] != y[1:]) != (found[stretch[0]][0] != stretch[0][1:])):
+                        head = min(found[z][0] for z in stretch)
+                        out.append((row[0], stretch[0][2], len(stretch), sum(len(paras[z]) for z in stretch), *head, max(found[z][1] for z in stretch), found[stretch[0]][0] != stretch[0][1:]))
+                        stretch = []
+                    stretch.append(y)
+            chain = []
+            if x not in paras:
+                break
+    return out

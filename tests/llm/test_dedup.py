@@ -137,29 +137,63 @@ def test_components_equal_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def pair_hash(a: str, b: str) -> int:
+    import pyarrow as pa
+
+    h, _ = T.word_hashes(pa.array([f"{a} {b}"]))
+    return int(T.mix(h[:1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[0])
+
+
 def check_paragraphs(docs, **how):
-    found = paragraph_dedup.paragraph_duplicates(docs, **how).collect()
-    got = {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in found}
-    assert got == brute.paragraph_clusters(list(dict(rows_of(docs)).items()), how.get("min_words", 20), 5, 80)
-    texts = dict(rows_of(docs))
-    for r in found:
-        assert texts[r.doc_id][r.start : r.end] == texts[r.doc_id].split("\n")[r.para]
-        assert r.removed == ((r.doc_id, r.para) != (r.cluster_doc, r.cluster_para))
+    found = paragraph_dedup.paragraph_duplicates(docs, recall=1 - 1e-9, **how).collect()
+    rows = rows_of(docs)
+    got = sorted((r.doc_id, r.para, r.paras, r.n_words, r.cluster_doc, r.cluster_para, r.n_copies, r.removed) for r in found)
+    assert got == sorted(brute.repeated_chains(rows, how.get("min_words", 20), 5, 80, paragraph_dedup.REACH, pair_hash))
+    own = {i: [brute.words(t) for j, t in rows if j == i] for i, _ in rows}
+    for r in found:  # the characters are those of the words
+        text = [t for i, t in rows if i == r.doc_id and r.end <= len(t or "")]
+        assert any(w[at : at + r.n_words] == brute.words(t[r.start : r.end]) for t in text for w in own[r.doc_id] for at in range(len(w)))
+    return got
 
 
 def test_paragraph_dedup_equals_brute_force(documents, awkward, nothing):
-    check_paragraphs(awkward.where("doc_id IS NULL OR doc_id <> 12"))
+    """With repeated ids, rows and texts, and a hot key joined in blocks."""
+    assert any(r[0] == 12 for r in check_paragraphs(awkward))
     check_paragraphs(documents.limit(60), min_words=8)
+    check_paragraphs(documents.limit(40).union(documents.limit(3)), task_members=200)
     assert paragraph_dedup.paragraph_duplicates(nothing).count() == 0
 
 
-def test_bands_reach_their_recall():
-    n = paragraph_dedup.tune_bands(0.8, 0.9998)
-    assert 1 - (1 - 0.8**3) ** n >= 0.9998 > 1 - (1 - 0.8**3) ** (n - 1)
+def test_passages_are_found_inside_and_across_lines(spark):
+    random.seed(8)
+    word = lambda: f"w{random.randrange(10**6)}"
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i in range(40):  # each passage stands in two texts, with lines broken elsewhere, and in one of them twice
+        passage = some(55)
+        rows.append((2 * i, " ".join(some(80) + passage + some(70))))
+        broken = "".join(w + ("\n" if random.random() < 0.2 else " ") for w in passage)
+        rows.append((2 * i + 1, " ".join(some(30)) + " " + broken + " ".join(some(90)) + "\n" + " ".join(passage)))
+    rows += [(1000 + i, " ".join(some(200))) for i in range(40)]
+    found = paragraph_dedup.paragraph_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in found}) >= 78 and max(r.doc_id for r in found) < 1000
+    inside = {r.doc_id: 0 for r in found}
+    for r in found:
+        inside[r.doc_id] += r.n_words
+    assert min(inside.values()) >= 20 and sum(inside.values()) > 0.6 * 55 * 120
 
 
-def test_removed_paragraphs_are_cut_out(spark):
-    line = " ".join(f"word{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f"{line}\nc"), (3, None)], "doc_id long, text string")
-    kept = paragraph_dedup.remove_spans(docs, paragraph_dedup.paragraph_duplicates(docs))
-    assert {r.doc_id: r.text for r in kept.collect()} == {1: f"a\n{line}\nb", 2: "c", 3: None}
+def test_bands_reach_their_recall():
+    n = paragraph_dedup.tune_bands(0.8, 0.999)
+    assert 1 - (1 - 0.8**2) ** n >= 0.999 > 1 - (1 - 0.8**2) ** (n - 1)
+
+
+def test_removed_stretches_are_cut_out(spark):
+    line = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a\n{line}\nb é", 5), (2, f"ü x {line}\nc", 6), (3, None, 7), (4, "d", 8)], "doc_id long, text string, start long")
+    found = paragraph_dedup.paragraph_duplicates(docs)
+    (gone,) = [r for r in found.collect() if r.removed]
+    kept = {r.doc_id: (r.text, r.start) for r in paragraph_dedup.remove_spans(docs, found).collect()}
+    text = f"ü x {line}\nc"
+    assert kept == {1: (f"a\n{line}\nb é", 5), 2: (text[: gone.start] + text[gone.end :], 6), 3: (None, 7), 4: ("d", 8)}
+    assert gone.doc_id == 2 and gone.n_words > 30
