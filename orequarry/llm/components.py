@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orequarry.llm.storage import materialize, shuffle_parts
+from orequarry.llm.storage import materialize
 
-#: Forests of so many tasks are merged before the first round.
-MEET = 16
+#: Edges of which one task makes a forest; its memory is bounded by them.
+TASK_EDGES = 500_000
 
 
 def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,29 +45,29 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u[keep], pa.int64()), pa.array(v[keep], pa.int64())], ["u", "v"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """node, component (its smallest node): one row per node of edges(a long, b long).
 
     Rows with a null end and loops are left out; repeated edges count once; no edges give no rows.
-    Tasks first reduce the edges they hold to a spanning forest. A round is two aggregations by node,
-    each joined back, with map-side combining and splittable partitions, so a node with very many
-    neighbours is not gathered in one task. Each round is written to the shared folder.
+    Tasks of about `task_edges` edges first reduce them to spanning forests; the forest of a single task
+    is the answer. Else a round is two aggregations by node, each written to the shared folder and
+    joined back, with map-side combining and partitions that adaptive execution can split, so a node
+    with very many neighbours is not gathered in one task.
     """
     two = "u long, v long"
-    start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    # edges of many tasks meet in fewer, so a large component comes as a few forests, not as one from each task
-    fewer = max(1, shuffle_parts(edges.sparkSession, 1) // MEET)
-    now = materialize(start.repartition(fewer).mapInArrow(_contract, two))
-    while True:
+    start = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    tasks = -(-max(1, start.count()) // task_edges)
+    now = materialize(start.repartition(tasks).mapInArrow(_contract, two))
+    while tasks > 1:
         # done when every node points at one node that points nowhere
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
         open_ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)")
         if open_ends.isEmpty():
             break
         both = now.union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct().mapInArrow(_contract, two))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

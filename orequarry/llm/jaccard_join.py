@@ -297,36 +297,57 @@ def _canopies(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("canopy"))
 
 
-def canopy_components(sets: DataFrame, percent: int, parts: int, task_members: int) -> DataFrame:
-    """node, component: the linked classes of canopies (canopy, cls, n, set); a class linked with none may be missing."""
-    weight = sets.groupBy("canopy").agg(F.sum("n").alias("total"), F.min("cls").alias("leader"))
-    pair = "a long, b long"
-    sized = materialize(weight.where(F.col("total") > task_members))
-    any_large = not sized.isEmpty()
-    ready = (sets.join(sized.select("canopy"), "canopy", "left_anti") if any_large else sets).withColumn("task", F.pmod(F.xxhash64("canopy"), F.lit(parts)))
-    stars = materialize(ready.groupBy("task").applyInArrow(_join_group(percent), pair))
-    done = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
-    if not any_large:
-        return done
-    # one canopy over many tasks: each block also gets the leader, so blocks of near copies hang together
-    hot = sets.join(sized, "canopy").withColumn("blocks", F.expr(f"total div {task_members} + 1"))
+def _small_links(sets: DataFrame, large: DataFrame | None, percent: int, parts: int) -> DataFrame:
+    """a, b: a star for each component inside the canopies that one task can join."""
+    ready = sets if large is None else sets.join(large.select("canopy"), "canopy", "left_anti")
+    return materialize(ready.withColumn("task", F.pmod(F.xxhash64("canopy"), F.lit(parts))).groupBy("task").applyInArrow(_join_group(percent), "a long, b long"))
+
+
+def _large_links(sets: DataFrame, large: DataFrame, percent: int, task_members: int) -> DataFrame:
+    """a, b: links that join the components inside canopies (canopy, total, leader) of more members than a task takes.
+
+    Each block of a canopy also gets the leader, so blocks of near copies hang together. What isn't in
+    the leader's component after that meets every block; nothing else can add a link.
+    """
+    hot = sets.join(large, "canopy").withColumn("blocks", F.expr(f"total div {task_members} + 1"))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     dealt = hot.withColumn("block", F.explode(F.when(F.col("cls") == F.col("leader"), every("blocks")).otherwise(F.array(block))))
-    links = materialize(dealt.groupBy("canopy", "block").applyInArrow(_join_group(percent), pair))
-    # what isn't yet in the leader's component meets every block; nothing else can add a link
+    links = materialize(dealt.groupBy("canopy", "block").applyInArrow(_join_group(percent), "a long, b long"))
     found = connected_components(links)
     own = hot.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    lead = own.where("cls = leader").select("canopy", F.col("component").alias("led"))
+    lead = own.where("cls = leader").select("canopy", F.col("component").alias("led")).distinct()
     rest = own.join(lead, "canopy").where("component <> led")
-    if not rest.isEmpty():
-        chunks = rest.groupBy("canopy").agg((F.expr(f"sum(n) div {task_members}") + 1).alias("chunks"))
-        base = hot.join(chunks, "canopy").withColumn("block", block).withColumn("chunk", F.explode(every("chunks")))
-        asked = rest.join(chunks, "canopy").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(every("blocks")))
-        columns = ["canopy", "cls", "set", "block", "chunk"]
-        both = base.select(*columns).union(asked.select(*columns))
-        found = connected_components(links.union(both.groupBy("canopy", "block", "chunk").applyInArrow(_join_group(percent), pair)))
-    return done.union(found)
+    if rest.isEmpty():
+        return links
+    chunks = rest.groupBy("canopy").agg((F.expr(f"sum(n) div {task_members}") + 1).alias("chunks"))
+    base = hot.join(chunks, "canopy").withColumn("block", block).withColumn("chunk", F.explode(every("chunks")))
+    asked = rest.join(chunks, "canopy").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(every("blocks")))
+    columns = ["canopy", "cls", "set", "block", "chunk"]
+    both = base.select(*columns).union(asked.select(*columns))
+    return links.union(both.groupBy("canopy", "block", "chunk").applyInArrow(_join_group(percent), "a long, b long"))
+
+
+def _too_large(sets: DataFrame, task_members: int) -> DataFrame | None:
+    """canopy, total, leader of the canopies above task_members, if there are any."""
+    weight = sets.groupBy("canopy").agg(F.sum("n").alias("total"), F.min("cls").alias("leader"))
+    sized = materialize(weight.where(F.col("total") > task_members))
+    return None if sized.isEmpty() else sized
+
+
+def canopy_components(sets: DataFrame, percent: int, parts: int, task_members: int) -> DataFrame:
+    """node, component: the linked classes of canopies (canopy, cls, n, set), each class in one; a class linked with none may be missing."""
+    large = _too_large(sets, task_members)
+    stars = _small_links(sets, large, percent, parts)
+    done = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+    return done if large is None else done.union(connected_components(_large_links(sets, large, percent, task_members)))
+
+
+def bucket_components(sets: DataFrame, percent: int, parts: int, task_members: int) -> DataFrame:
+    """As canopy_components, for classes in any number of buckets: only verified links make components."""
+    large = _too_large(sets, task_members)
+    links = _small_links(sets, large, percent, parts)
+    return connected_components(links if large is None else links.union(_large_links(sets, large, percent, task_members)))
 
 
 def jaccard_components(

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orequarry.llm import textnum as T
-from orequarry.llm.components import connected_components, spanning_edges
-from orequarry.llm.jaccard_join import TASK_MEMBERS, canopy_components
+from orequarry.llm.jaccard_join import TASK_MEMBERS, bucket_components
 from orequarry.llm.membership import membership_filter
 from orequarry.llm.storage import materialize, shuffle_parts
 
 #: A paragraph begins at the smallest word-pair hash within so many words on each side.
 REACH = 6
 #: MinHash values in a band.
-ROWS = 2
+ROWS = 3
 #: Paragraphs that a task holds before it hands them out combined.
 _HELD = 400_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -93,9 +92,11 @@ def _list():
     return run
 
 
-#: Kinds of packs: classes with their counts and places; band keys; edges that one task found.
-_CLASSES, _KEYS, _EDGES = 0, 1, 2
+#: Kinds of packs: classes with their counts and places; a class for each band key; classes known to share a key.
+_CLASSES, _KEYS, _PAIRS = 0, 1, 2
 _PACKS = "kind int, part long, a binary, b binary, c binary, d binary"
+#: Bits of a band key; sent without those that its part tells, in five bytes.
+_KEY_BITS = 44
 
 
 def _packs(kind: int, part: np.ndarray, columns: list[np.ndarray]):
@@ -114,12 +115,12 @@ def band_keys(grams: np.ndarray, at: np.ndarray, bands: int, rows: int = ROWS, s
         key = np.full(len(at) - 1, band + 1, np.uint64)
         for j in range(band * rows, band * rows + rows):
             key = T.mix(key + np.minimum.reduceat(folded * a[j], at[:-1]))
-        keys.append(key)
+        keys.append(key >> np.uint64(64 - _KEY_BITS))
     return keys
 
 
 def _emit(k: int, least: int, bands: int, parts: int):
-    """Of each task the classes with counts, and each band key once: classes that share one here are joined by edges at once."""
+    """Of each task the classes with counts; of each piece of text one class for a band key, and all that share one there."""
 
     def run(batches):
         held: list[tuple] = []
@@ -156,35 +157,45 @@ def _emit(k: int, least: int, bands: int, parts: int):
             order = np.argsort(flat, kind="stable")
             flat, whose = flat[order], whose[order]
             start, length = T.runs_of(flat)
-            head = np.repeat(whose[start], length)
-            apart = head != whose
-            if apart.any():
-                a, b = spanning_edges(whose[apart], head[apart])
-                yield from _packs(_EDGES, a.view(np.uint64) % np.uint64(parts), [a, b])
-            yield from _packs(_KEYS, flat[start] % np.uint64(parts), [flat[start], whose[start]])
+            met = np.repeat(length > 1, length)
+            if met.any():
+                yield from _packs(_PAIRS, whose[met].view(np.uint64) % np.uint64(parts), [flat[met], whose[met]])
+            flat, whose = flat[start], whose[start]
+            left = flat // np.uint64(parts)
+            yield from _packs(_KEYS, flat % np.uint64(parts), [left.astype(np.uint32), (left >> np.uint64(32)).astype(np.uint8), whose])
         yield from classes()
 
     return run
 
 
-def _merge(key: tuple, table: pa.Table) -> pa.Table:
-    """Classes that occur more than once, with count and smallest place; edges that join the classes of each band key."""
-    kind = key[0].as_py()
-    if kind == _CLASSES:
-        cls, times, doc, para = (T.unpacked(table[x], t) for x, t in zip("abcd", (np.int64, np.int32, np.int64, np.int32), strict=True))
-        cls, times, doc, para = _first_of(cls, doc, para, times.astype(np.int64))
-        keep = times > 1
-        columns = [cls[keep], times[keep], doc[keep], para[keep].astype(np.int64)]
-    else:
-        a, b = (T.unpacked(table[x], np.int64) for x in "ab")
-        if kind == _KEYS:
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            same = (a[1:] == a[:-1]) & (b[1:] != b[:-1])
-            a, b = b[:-1][same], b[1:][same]
-        a, b = spanning_edges(a, b)
-        columns = [a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
-    return pa.table({"kind": pa.array([min(kind, _KEYS)] * len(columns[0]), pa.int32())} | {x: pa.array(c, pa.int64()) for x, c in zip("abcd", columns, strict=True)})
+def _merge(parts: int):
+    """Classes that occur more than once, with count and smallest place; pairs of a band key and a class, of keys that classes share."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kind, part = key[0].as_py(), key[1].as_py()
+        if kind == _CLASSES:
+            cls, times, doc, para = (T.unpacked(table[x], t) for x, t in zip("abcd", (np.int64, np.int32, np.int64, np.int32), strict=True))
+            cls, times, doc, para = _first_of(cls, doc, para, times.astype(np.int64))
+            keep = times > 1
+            columns = [cls[keep], times[keep], doc[keep], para[keep].astype(np.int64)]
+        else:
+            if kind == _KEYS:
+                low, high, cls = (T.unpacked(table[x], t) for x, t in zip("abc", (np.uint32, np.uint8, np.int64), strict=True))
+                band = ((high.astype(np.uint64) << np.uint64(32)) + low) * np.uint64(parts) + np.uint64(part)
+            else:
+                band, cls = (T.unpacked(table[x], t) for x, t in zip("ab", (np.uint64, np.int64), strict=True))
+            order = np.lexsort((cls, band))
+            band, cls = band[order], cls[order]
+            new = np.concatenate([[True], (band[1:] != band[:-1]) | (cls[1:] != cls[:-1])])
+            band, cls = band[new], cls[new]
+            if kind == _KEYS:
+                _, length = T.runs_of(band)
+                many = np.repeat(length > 1, length)
+                band, cls = band[many], cls[many]
+            columns = [band.astype(np.int64), cls, np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)]
+        return pa.table({"kind": pa.array([min(kind, _KEYS)] * len(columns[0]), pa.int32())} | {x: pa.array(c, pa.int64()) for x, c in zip("abcd", columns, strict=True)})
+
+    return run
 
 
 def _sets_of(k: int, shared, bits: int):
@@ -239,10 +250,11 @@ def paragraph_duplicates(
     ignored; no repeats or no rows give no rows.
 
     Equal paragraphs are one class, counted in each task first, so a passage in very many texts is not
-    gathered. Classes meet in bands of two MinHash values, as many as the recall asks for; a task gives
-    each band key once. Those that meet, directly or through others, form a canopy; their sets are read
-    from the texts through a broadcast membership filter of fixed size, and exact Jaccard is decided by
-    a prefix tree, large canopies in blocks.
+    gathered. Classes meet in bands of three MinHash values, as many as the recall asks for. A piece of
+    text sends one class for a band key; classes that share a key there are known to and go elsewhere,
+    so a key of very many classes is not gathered. Sets of those that meet are read from the texts through
+    a broadcast membership filter of bounded size, exact Jaccard is decided in each band key by a prefix
+    tree, in blocks where a key has many, and only verified links make components.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -251,22 +263,21 @@ def paragraph_duplicates(
     )
     least = -(-percent // max(1, 100 - percent))
     emitted = rows.select("doc_id", "text").mapInArrow(_emit(words, least, tune_bands(percent / 100, recall), parts), _PACKS)
-    merged = materialize(emitted.groupBy("kind", "part").applyInArrow(_merge, "kind int, a long, b long, c long, d long"))
-    canopy = materialize(connected_components(merged.where(F.col("kind") == _KEYS).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("canopy")))
-    shared, bits = membership_filter(canopy.select(F.col("cls").alias("key")), canopy.count())
+    merged = materialize(emitted.groupBy("kind", "part").applyInArrow(_merge(parts), "kind int, a long, b long, c long, d long"))
+    pairs = materialize(merged.where(F.col("kind") == _KEYS).select(F.col("a").alias("canopy"), F.col("b").alias("cls")).distinct())
+    asked = materialize(pairs.select("cls").distinct())
+    shared, bits = membership_filter(asked.select(F.col("cls").alias("key")), asked.count())
     kind = "cls long, copies long, doc_id long, para long, n long, set binary"
-    place = F.struct("doc_id", "para")
     sets = rows.select("doc_id", "text").mapInArrow(_sets_of(words, shared, bits), kind).groupBy("cls").agg(
-        F.sum("copies").alias("copies"), F.min(place).alias("first"), F.first("n").alias("n"), F.first("set").alias("set")
+        F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "para")).alias("first"), F.first("n").alias("n"), F.first("set").alias("set")
     )
-    sets = materialize(sets.join(canopy, "cls"))
-    linked = canopy_components(sets.select("canopy", "cls", "n", "set"), percent, parts, task_members).withColumnRenamed("node", "cls")
-    met = sets.select("cls", "copies", "first").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    equal = merged.where(F.col("kind") == _CLASSES).select(F.col("a").alias("cls"), F.col("b").alias("copies"), F.struct(F.col("c").alias("doc_id"), F.col("d").alias("para")).alias("first"))
-    alone = equal.join(canopy.select("cls"), "cls", "left_anti").select("cls", "copies", F.col("first").alias("head"), F.col("copies").alias("n_copies"))
-    met = materialize(met)
-    clusters = met.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("n_copies")).where("n_copies > 1")
-    named = alone.select("cls", "head", "n_copies").union(met.join(clusters, "component").select("cls", "head", "n_copies"))
+    sets = materialize(sets.join(asked, "cls"))
+    linked = bucket_components(pairs.join(sets.select("cls", "n", "set"), "cls"), percent, parts, task_members).withColumnRenamed("node", "cls")
+    met = materialize(sets.select("cls", "copies", "first").join(linked, "cls"))
+    clusters = met.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("n_copies"))
+    equal = merged.where(F.col("kind") == _CLASSES).select(F.col("a").alias("cls"), F.col("b").alias("copies"), F.struct(F.col("c").alias("doc_id"), F.col("d").alias("para")).alias("head"))
+    alone = equal.join(met.select("cls"), "cls", "left_anti").select("cls", "head", F.col("copies").alias("n_copies"))
+    named = alone.union(met.join(clusters, "component").select("cls", "head", "n_copies"))
     listed = rows.mapInArrow(_list(), "doc_id long, sig long, para long, start long, end long, n_words long, cls long")
     return chains(listed.join(named, "cls"), min_words)
 
