@@ -16,7 +16,7 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HASHES, BITS_PER_ITEM = 5, 8
 #: Weight of the lower order in the interpolation.
 BACKOFF = 0.4
-#: Up to so many pieces of the word filter stay loaded in a worker; more are loaded in turn.
+#: Up to so many pieces of a filter stay loaded in a worker; more are loaded in turn.
 HELD = 4
 #: Stands for the level of a text's start.
 _FIRST = 255
@@ -64,12 +64,6 @@ def room(counts: np.ndarray) -> int:
     return max(64, -(-int(levels(counts).sum()) * BITS_PER_ITEM // 64) * 64)
 
 
-def probe(filters: np.ndarray, segment_bits: int, keys: np.ndarray) -> np.ndarray:
-    """Levels of the keys: the first missing level ends the probing. filters: all segments, one after the other."""
-    segments = len(filters) * 8 // segment_bits
-    return probe_at(filters, (keys % np.uint64(segments)) * np.uint64(segment_bits), np.full(len(keys), segment_bits, np.uint64), keys)
-
-
 def probe_at(filters: np.ndarray, base: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Levels of the keys, each in the `bits` bits of filters from `base` on."""
     out = np.zeros(len(keys), np.int64)
@@ -156,8 +150,8 @@ def _count(segments: int, parts: int):
     return run
 
 
-def _reduce(segments: int, parts: int, word_bits: int, pair_bits: int):
-    """Exact counts of the words of a part; of each segment a filter, of word_bits or more for words, for pairs one of pair_bits and one for the rest."""
+def _reduce(segments: int, parts: int, pair_bits: int):
+    """Exact counts of the words of a part; of each segment a filter of all, for pairs one of at most pair_bits and one for the rest."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
@@ -169,7 +163,7 @@ def _reduce(segments: int, parts: int, word_bits: int, pair_bits: int):
         own, made, rest = list(range(part, segments, parts)), [], []
         for s in own:
             keys, counts = k[where == s], c[where == s]
-            bits, least = build_segment(keys, counts, max(room(counts), word_bits) if kind == 1 else pair_bits)
+            bits, least = build_segment(keys, counts, room(counts) if kind == 1 else min(room(counts), pair_bits))
             made.append(bits)
             rare = counts < least
             rest.append(build_segment(keys[rare], counts[rare], room(counts[rare]))[0] if rare.any() else b"")
@@ -198,19 +192,21 @@ def _at_least(least: int):
     return run
 
 
-class WordFilter:
-    """The filter of all words in broadcast pieces of whole segments."""
+class PiecedFilter:
+    """A filter in broadcast pieces of whole segments: piece, first bit and bits of each segment."""
 
     def __init__(self, pieces: list, piece: np.ndarray, start: np.ndarray, size: np.ndarray):
         self.pieces, self.piece, self.start, self.size = pieces, piece, start, size
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         segment = (keys % np.uint64(len(self.size))).astype(np.int64)
+        order = np.argsort(self.piece[segment], kind="stable")
+        cuts = np.searchsorted(self.piece[segment[order]], np.arange(len(self.pieces) + 1))
         out = np.zeros(len(keys), np.int64)
-        for i, held in enumerate(self.pieces):
-            own = np.flatnonzero(self.piece[segment] == i)
-            if not len(own):
+        for held, low, high in zip(self.pieces, cuts[:-1], cuts[1:], strict=True):
+            if low == high:
                 continue
+            own = order[low:high]
             at = segment[own]
             out[own] = probe_at(np.frombuffer(held.value, np.uint8), self.start[at], self.size[at], keys[own])
             if len(self.pieces) > HELD and getattr(held, "_path", None):  # can be loaded again
@@ -230,11 +226,11 @@ def log_probability(pair_level: np.ndarray, level: np.ndarray, history_level: np
 
 
 class Scorer:
-    """What a worker needs: the frequent words with exact counts, the words' filter, and that of the frequent pairs."""
+    """What a worker needs: the frequent words with exact counts, and the filters of words and pairs; more: segments with rarer pairs elsewhere."""
 
-    def __init__(self, hot: bytes, hot_counts: bytes, pairs: bytes, pair_bits: int, more: np.ndarray, tokens: int, types: int, texts: int, words: WordFilter):
+    def __init__(self, hot: bytes, hot_counts: bytes, more: np.ndarray, tokens: int, types: int, texts: int, words: PiecedFilter, pairs: PiecedFilter):
         self.hot, self.hot_counts = np.frombuffer(hot, np.uint64), np.frombuffer(hot_counts, np.int64)
-        self.words, self.pairs, self.pair_bits = words, np.frombuffer(pairs, np.uint8), pair_bits
+        self.words, self.pairs = words, pairs
         self.more, self.tokens, self.types, self.texts = more, tokens, types, texts
 
     def exact(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +248,7 @@ class Scorer:
         level = self.words.probe(distinct)[back]
         history = np.concatenate([[0], level[:-1]])
         history[offsets[:-1]] = _FIRST
-        pair = probe(self.pairs, self.pair_bits, keys)
+        pair = self.pairs.probe(keys)
         ask = (pair == 0) & self.more[(keys % np.uint64(len(self.more))).astype(np.int64)]
         ask &= np.where(history == _FIRST, self.texts, history) > 0  # after an unseen word the pair is not read
         made = np.where(ask, 0.0, log_probability(pair, level, history, self.tokens, self.types, self.texts))
@@ -279,12 +275,12 @@ def _row_parts(rows: np.ndarray, parts: int) -> np.ndarray:
     return (T.mix(rows.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _score(shared, pieces: list, segments: int, parts: int):
+def _score(shared, word_pieces: list, pair_pieces: list, segments: int, parts: int):
     """Rows with what is read at once, and the rare words and pairs, with offsets of their rows, for where they were counted."""
 
     def run(batches):
-        *values, where = shared.value
-        scorer = Scorer(*values, WordFilter(pieces, *where))
+        *values, words, pairs = shared.value
+        scorer = Scorer(*values, PiecedFilter(word_pieces, *words), PiecedFilter(pair_pieces, *pairs))
         per_token = np.log10(float(scorer.tokens + scorer.types + 1))
         for batch in batches:
             rows, ids = batch.column("row").to_numpy(), batch.column("doc_id")
@@ -370,25 +366,21 @@ def _by_row(train_tokens: int):
     return run
 
 
-def _word_filter(reduced: DataFrame, segments: int, least: int, most: int) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The words' filter as broadcasts of about `most` bits, one gathered at a time; piece, start and size of each segment."""
-    words = reduced.where("kind = 1")
-    piece, start, size = np.zeros(segments, np.int64), np.zeros(segments, np.uint64), np.full(segments, max(64, least), np.uint64)
-    for r in words.select("segment", (F.length("bits") * 8).alias("n")).collect():
-        size[r["segment"]] = r["n"]
-    pieces, low = [], 0
-    while low < segments:
-        ends = np.cumsum(size[low:])
-        high = low + max(1, int(np.searchsorted(ends, most, "right")))
-        start[low:high] = ends[: high - low] - size[low:high]
-        piece[low:high] = len(pieces)
-        whole = np.zeros(int(ends[high - low - 1]) // 8, np.uint8)
-        got = words.where(F.col("segment").between(low, high - 1)).select("segment", "bits").toArrow()  # at most `most` bits
-        for s, bits in zip(got["segment"].to_pylist(), got["bits"], strict=True):
-            at = int(start[s]) // 8
-            whole[at : at + int(size[s]) // 8] = np.frombuffer(bits.as_py(), np.uint8)
-        pieces.append(reduced.sparkSession.sparkContext.broadcast(whole.tobytes()))
-        low = high
+def _pieces(reduced: DataFrame, kind: int, segments: int, most: int) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A kind's filter as broadcasts of about `most` bits, gathered one after the other; piece, start and size of each segment."""
+    context = reduced.sparkSession.sparkContext
+    piece, start, size = np.zeros(segments, np.int64), np.zeros(segments, np.uint64), np.full(segments, 64, np.uint64)
+    pieces, held, bits = [], [bytes(8)], 64  # segments of which nothing was counted read the empty first bits
+    rows = reduced.where(f"kind = {kind}").select("segment", "bits").orderBy("segment").toLocalIterator()
+    for r in rows:
+        own = len(r["bits"]) * 8
+        if bits + own > most and bits > 64:
+            pieces.append(context.broadcast(b"".join(held)))
+            held, bits = [], 0
+        piece[r["segment"]], start[r["segment"]], size[r["segment"]] = len(pieces), bits, own
+        held.append(bytes(r["bits"]))
+        bits += own
+    pieces.append(context.broadcast(b"".join(held)))
     return pieces, (piece, start, size)
 
 
@@ -397,8 +389,8 @@ def lm_scores(
     training: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    word_filter_bits: int = 1 << 27,
-    pair_filter_bits: int = 1 << 28,
+    piece_bits: int = 1 << 27,
+    pair_filter_bits: int = 1 << 33,
     hot_words: int = 1 << 18,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
@@ -412,26 +404,24 @@ def lm_scores(
     most frequent words are broadcast, the others are looked up where they were counted, each text's
     rare words dealt by hash. score is an interpolated bigram model that reads all its counts from two
     log-frequency Bloom filters, which grow with the counted n-grams: none is left out. Their segments
-    are built where the n-grams of a hash range are counted, so no table of n-grams is gathered. The
-    words' filter is broadcast in pieces of `word_filter_bits`. Of the pairs, the most frequent are
-    broadcast in `pair_filter_bits`; the others stay in filters where they were counted, and pairs not
-    found in the first are looked up there. Words are compared by 64-bit hashes.
+    are built where the n-grams of a hash range are counted, so no table of n-grams is gathered. Both
+    filters are broadcast in pieces of about `piece_bits` (16 MB), of which a worker holds a few at a
+    time. Of the pairs at most `pair_filter_bits` (1 GB) are broadcast, the most frequent; beyond that
+    the others stay in filters where they were counted, and pairs not found in the first are looked up
+    there. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     segments = 1 << max(10, (parts - 1).bit_length())  # each belongs to one part
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("t"))
-    word_bits, bits = word_filter_bits // segments // 8 * 8, pair_filter_bits // segments // 8 * 8
     counted = rows.where("t").select("text").mapInArrow(_count(segments, parts), "kind int, part long, ks binary, ns binary")
-    reduced = materialize(counted.groupBy("kind", "part").applyInArrow(_reduce(segments, parts, word_bits, bits), _REDUCED))
+    bits = max(64, pair_filter_bits // segments // 64 * 64)
+    reduced = materialize(counted.groupBy("kind", "part").applyInArrow(_reduce(segments, parts, bits), _REDUCED))
     sums = reduced.where("kind = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    pieces, where = _word_filter(reduced, segments, word_bits, word_filter_bits)
-    pairs, more = np.zeros(segments * bits // 8, np.uint8), np.zeros(segments, bool)
-    got = reduced.where("kind = 2").select("segment", "bits", (F.length("rest") > 0).alias("more")).toArrow()  # at most pair_filter_bits
-    for segment, made, rest in zip(got["segment"].to_pylist(), got["bits"], got["more"].to_pylist(), strict=True):
-        pairs[segment * bits // 8 : (segment + 1) * bits // 8] = np.frombuffer(made.as_py(), np.uint8)
-        more[segment] = rest
-    del got
+    word_pieces, words_at = _pieces(reduced, 1, segments, piece_bits)
+    pair_pieces, pairs_at = _pieces(reduced, 2, segments, piece_bits)
+    more = np.zeros(segments, bool)
+    more[[r["segment"] for r in reduced.where("kind = 2 AND length(rest) > 0").select("segment").collect()]] = True
     exact = reduced.where("kind = 1 AND length(words) > 0").select("part", "words", "counts")
     histogram = [r["n"] for r in reduced.where("kind = 1").select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).orderBy("level").collect()]
     level, held = len(histogram), 0
@@ -443,8 +433,8 @@ def lm_scores(
     order = np.argsort(words)
     texts = int(counts[words == END].sum()) if (words == END).any() else rows.where("t").count()
     tokens, types = int(sums["n"]), int(sums["v"])
-    shared = spark.sparkContext.broadcast((words[order].tobytes(), counts[order].tobytes(), pairs.tobytes(), bits, more, tokens, types, texts, where))
-    scored = rows.select("row", "doc_id", "text").mapInArrow(_score(shared, pieces, segments, parts), _PACKS)
+    shared = spark.sparkContext.broadcast((words[order].tobytes(), counts[order].tobytes(), more, tokens, types, texts, words_at, pairs_at))
+    scored = rows.select("row", "doc_id", "text").mapInArrow(_score(shared, word_pieces, pair_pieces, segments, parts), _PACKS)
     kept = reduced.where("length(words) > 0 OR length(rest) > 0").select("kind", "part", "segment", "rest", "words", "counts")
     found = scored.groupBy("kind", "part").cogroup(kept.groupBy("kind", "part")).applyInArrow(_look_up(segments, parts, tokens, types, texts), _PACKS)
     return found.groupBy("part").applyInArrow(_by_row(tokens), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -132,7 +132,7 @@ def brute_lm(rows, trained):
 @pytest.mark.parametrize("hot_words", [1 << 18, 5, 0])
 def test_language_model_counts_are_exact(awkward, hot_words):
     """With few or no words broadcast, the rest is looked up where it was counted."""
-    got = language_model.lm_scores(awkward, F.col("doc_id") % 3 != 0, hot_words=hot_words, word_filter_bits=1 << 20, pair_filter_bits=1 << 20).collect()
+    got = language_model.lm_scores(awkward, F.col("doc_id") % 3 != 0, hot_words=hot_words, piece_bits=1 << 20, pair_filter_bits=1 << 20).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = sorted(brute_lm(AWKWARD, lambda i: i is not None and math.fmod(i, 3) != 0), key=key)
     made = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), key=key)
@@ -165,7 +165,7 @@ def quantised_lm(rows, trained):
 @pytest.mark.parametrize("bits", [1 << 27, 1 << 16])
 def test_language_model_keeps_all_counts(documents, bits):
     """Filters far smaller than the corpus lose no word and no pair."""
-    got = {r.doc_id: r.score / r.n_tokens for r in language_model.lm_scores(documents, F.col("doc_id") % 7 != 2, word_filter_bits=bits, pair_filter_bits=bits).collect()}
+    got = {r.doc_id: r.score / r.n_tokens for r in language_model.lm_scores(documents, F.col("doc_id") % 7 != 2, piece_bits=bits, pair_filter_bits=bits).collect()}
     want = dict(quantised_lm([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()], lambda i: i % 7 != 2))
     assert got.keys() == want.keys()
     assert np.mean([abs(got[i] - want[i]) for i in want]) < 0.1
@@ -173,14 +173,14 @@ def test_language_model_keeps_all_counts(documents, bits):
 
 
 def test_language_model_without_rows(nothing, awkward):
-    assert language_model.lm_scores(nothing, F.lit(True), word_filter_bits=1 << 18, pair_filter_bits=1 << 18).count() == 0
-    untrained = language_model.lm_scores(awkward, F.lit(None).cast("boolean"), word_filter_bits=1 << 18, pair_filter_bits=1 << 18).collect()
+    assert language_model.lm_scores(nothing, F.lit(True), piece_bits=1 << 18, pair_filter_bits=1 << 18).count() == 0
+    untrained = language_model.lm_scores(awkward, F.lit(None).cast("boolean"), piece_bits=1 << 18, pair_filter_bits=1 << 18).collect()
     assert {(r.n_known, r.train_tokens) for r in untrained} == {(0, 0)}
 
 
 def test_language_model_prefers_what_it_has_seen(documents):
     trained = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = language_model.lm_scores(documents, trained, word_filter_bits=1 << 22, pair_filter_bits=1 << 23).where(~trained)
+    got = language_model.lm_scores(documents, trained, piece_bits=1 << 22, pair_filter_bits=1 << 23).where(~trained)
     r = got.agg((F.sum("score") / F.sum("n_tokens")).alias("model"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
     assert r.model > r.base
 
@@ -191,10 +191,11 @@ def test_filter_holds_quantised_counts():
     counts = np.minimum(draw.zipf(1.7, 3000), 5000)
     bits = 1 << 17
     segment, least = language_model.build_segment(keys, counts, bits)
-    level = language_model.probe(np.frombuffer(segment, np.uint8), bits, keys)
+    probe = lambda k: language_model.probe_at(np.frombuffer(segment, np.uint8), np.zeros(len(k), np.uint64), np.full(len(k), bits, np.uint64), k)
+    level = probe(keys)
     assert least == 1 and (level >= language_model.levels(counts)).all()  # never less than was stored
     assert (level == language_model.levels(counts)).mean() > 0.9
-    other = language_model.probe(np.frombuffer(segment, np.uint8), bits, draw.integers(1, 1 << 62, 3000).astype(np.uint64))
+    other = probe(draw.integers(1, 1 << 62, 3000).astype(np.uint64))
     assert (other > 0).mean() < 0.06
     small, least = language_model.build_segment(keys, counts, 1 << 12)
     assert least > 1
