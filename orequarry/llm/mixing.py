@@ -87,21 +87,23 @@ def mix_sources(
     """doc_id, size, source_size, target, taken, first_slot: one row per row of docs.
 
     A null or blank text has size 0 and takes nothing; a null source is a source of its own, last in
-    order. Where all sizes are 0 every target is 0. Equal ids are ordered by their hash, then id; rows
-    that repeat an id lie side by side. No rows give no rows. Other columns are ignored.
+    order. Where all sizes are 0 every target is 0. Rows that repeat an id are told apart by their
+    texts; rows equal in both may stand for each other. No rows give no rows. Other columns are ignored.
 
-    The documents of a source lie on its token axis in hash order. The axis is cut into blocks of
-    equal tokens and wraps round, so a second pass takes each block again, in the same order. The
+    The documents of a source lie on its token axis in the order of a hash of id and text. The axis is
+    cut into blocks of equal tokens and wraps round, so a second pass takes each document again. The
     schedule deals slots to sources; a source's k-th slot takes its k-th block, the last one in part, so
     a source gives its target, rounded to words, also where that is less than a block. A source with
-    fewer slots than blocks has the others beside slots of the even spread. Positions are running sums in two steps (`ranges`
-    hash ranges per source, then inside a range), so no task ever holds a whole source.
+    fewer slots than blocks has the others beside slots of the even spread. taken is what the blocks of
+    a document that are joined to slots hold of it; first_slot is the first of these slots. Positions are
+    running sums in two steps (`ranges` hash ranges per source, then inside a range), so no task ever
+    holds a whole source.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     rows = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col)).alias("h"),
+            F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("row"),
         )
         .withColumn("source_key", key)
         .withColumn("range", F.pmod(F.shiftright("h", 20), F.lit(ranges)))
@@ -118,20 +120,36 @@ def mix_sources(
     plan = plan.withColumn("need", F.expr("(end + block - 1) div block")).withColumn("used", F.ceil(F.col("total") / F.col("block")))
     turns = materialize(whole_schedule(plan, materialize(slot_schedule(targets, slots))))
     plan = plan.select("source_key", "source_size", "target", "block", "end")
-    plan = F.broadcast(plan) if targets.limit(SMALL + 1).count() <= SMALL else plan
+    small = targets.limit(SMALL + 1).count() <= SMALL
+    plan, turns = (F.broadcast(plan), F.broadcast(turns)) if small else (plan, turns)  # turns: at most slots and two for each source
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.select("source_key", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("source_key", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = (
         rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, ["source_key", "range"])
         .join(plan, "source_key")
         .withColumn("low", F.col("range_start") + F.col("offset"))
-        .withColumn("turn", F.expr("low div block"))
     )
-    # blocks are taken in axis order, so a document is taken as far as the end of the target covers it
-    cover = lambda shift: F.greatest(F.lit(0), F.least(F.col("low") + F.col("size"), F.col("end") - shift) - F.col("low"))
-    taken = cover(F.lit(0)) + cover(F.col("source_size"))
-    return laid.join(turns, ["source_key", "turn"], "left").select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(F.col("low") < F.col("end"), F.col("slot")).alias("first_slot")
+    blocks = laid.select("row", "source_key", "doc_id", "size", "source_size", "target", "block", F.explode_outer(pieces(most)).alias("piece"))
+    joined = blocks.withColumn("turn", F.col("piece.turn")).join(turns, ["source_key", "turn"], "left")
+    words = F.when(F.col("slot").isNotNull(), F.least("piece.high", (F.col("turn") + 1) * F.col("block")) - F.greatest("piece.low", F.col("turn") * F.col("block")))
+    taken = joined.withColumn("words", F.coalesce(words, F.lit(0))).groupBy("row").agg(
+        *[F.first(x).alias(x) for x in ("doc_id", "size", "source_size", "target")], F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot")
     )
+    return taken.drop("row")
+
+
+def pieces(most: float) -> Column:
+    """The blocks that a document lies in, in each pass up to the end of its source's target: turn, and low and high of it in that pass."""
+    passes = F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))
+    begin = lambda p: F.col("low") + p * F.col("source_size")
+    high = lambda p: F.least(begin(p) + F.col("size"), F.col("end"))
+    turns = lambda p: F.when(
+        high(p) > begin(p),
+        F.transform(
+            F.sequence(F.floor(begin(p) / F.col("block")).cast("long"), F.floor((high(p) - 1) / F.col("block")).cast("long")),
+            lambda turn: F.struct(turn.alias("turn"), begin(p).alias("low"), high(p).alias("high")),
+        ),
+    )
+    return F.flatten(F.filter(F.transform(passes, turns), lambda x: x.isNotNull()))
