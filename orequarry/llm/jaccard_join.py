@@ -144,7 +144,7 @@ def _classes(k: int):
     def run(batches):
         for batch in batches:
             made = [(len(s), T.set_digest(s)) for s in _sets(batch, k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[i] for m in made], pa.int64()) for i in (0, 1))], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), *(pa.array([m[i] for m in made], pa.int64()) for i in (0, 1))], ["doc_id", "sig", "n", "cls"])
 
     return run
 
@@ -359,7 +359,10 @@ def jaccard_components(
     task_members: int = TASK_MEMBERS,
     runs: int = 64,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id: one row per row of docs with an id.
+    """doc_id, n_shingles, component_id, class_id, group_class, text_hash: one row per row of docs.
+
+    class_id tells sets apart, group_class components (null for a text without words), text_hash
+    (xxhash64 of the text) rows that repeat an id.
 
     Two texts link when 100 * |A and B| >= percent * |A or B| over their sets of distinct shingles of
     `words` words (A-Z lower-cased). A text with fewer words has its whole sequence as its only shingle;
@@ -380,7 +383,8 @@ def jaccard_components(
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = materialize(rows.mapInArrow(_classes(words), "doc_id long, n long, cls long"))
+    signed = rows.withColumn("sig", F.xxhash64("text"))
+    table = materialize(signed.mapInArrow(_classes(words), "doc_id long, sig long, n long, cls long"))
     table = table.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
     real = rows.where(F.col("doc_id").isNotNull())
     leaves = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "run").agg(F.min("doc_id").alias("first"))
@@ -393,8 +397,8 @@ def jaccard_components(
     linked = canopy_components(sets, percent, parts, task_members)
     classes = reps.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest, "component").select("cls", "component_id")
+    named = classes.join(smallest, "component").select("cls", "component_id", "component")
     per_run = leaves.select("cls", "run").join(named, "cls")
     out = table.join(per_run, ["cls", "run"], "left")
     alone = F.when((F.col("n") == 0) | F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("cls").alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("cls").alias("class_id"), F.col("component").alias("group_class"), F.col("sig").alias("text_hash"))

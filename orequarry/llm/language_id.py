@@ -17,6 +17,8 @@ LONGEST = 5
 #: Words that add evidence up to this number; more only make the mean more exact.
 EVIDENCE = 10
 UNKNOWN = "und"
+#: Runs of more letters are no word of the model; all their n-grams are counted and read.
+LONG = 256
 #: Words whose scores a worker keeps.
 _CACHE = 200_000
 
@@ -59,7 +61,7 @@ class Model:
         if row is not None:
             found = self.values[row].astype(float)
         else:
-            padded, i, pieces, found = f"^{word}$"[:4096], 0, 0, np.zeros(len(self.langs))
+            padded, i, pieces, found = f"^{word}$", 0, 0, np.zeros(len(self.langs))
             while i < len(padded):
                 for n in range(min(LONGEST, len(padded) - i), 0, -1):
                     row = self.tables[n].get(padded[i : i + n])
@@ -112,9 +114,7 @@ def _count(batches):
 
     def out():
         for lang, words in counts.items():
-            for w in [w for w in words if len(w) > 256]:  # a very long word counts by its first letters
-                words[w[:256]] += words.pop(w)
-            yield table(lang, 0, words)
+            yield table(lang, 0, Counter({w: times for w, times in words.items() if len(w) <= LONG}))
             for n in range(1, LONGEST + 1):  # one length at a time, to hold one table only
                 grams: Counter = Counter()
                 for w, times in words.items():
@@ -124,11 +124,15 @@ def _count(batches):
                 yield table(lang, n, grams)
         counts.clear()
 
+    held = 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            counts.setdefault(lang, Counter()).update(WORD.findall((text.as_py() or "").lower()))
-            if sum(map(len, counts.values())) > 50_000:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found = WORD.findall((text or "").lower())
+            counts.setdefault(lang, Counter()).update(found)
+            held += sum(len(w) for w in found if len(w) > LONG)
+            if held > 4_000_000 or sum(map(len, counts.values())) > 50_000:
                 yield from out()
+                held = 0
     yield from out()
 
 
@@ -150,12 +154,12 @@ def train(docs: DataFrame, sample: int = 12_000, words: int = 20_000, grams: int
     return Model.fit(langs, list(zip(*(table[x] for x in ("n", "gram", "lang", "count")), strict=True)))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id as doc_id, lang_pred and score (0 to 1): one row per row of docs.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """docs' id as doc_id, lang_pred and score (0 to 1), and text_hash (xxhash64 of the text) where asked: one row per row of docs.
 
-    Null texts and texts without a letter get `und` and 0.0; ties go to the language first in code
-    point order. A model without languages answers `und` for all. Repeated rows are answered each;
-    other columns are ignored; no rows give no rows.
+    Words are read to their last letter, however long. Null texts and texts without a letter get `und` and 0.0; ties go to the language first in code
+    point order. A model without languages answers `und` for all. Repeated rows and a null id are answered
+    each; other columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.values, model.floors))
 
@@ -164,12 +168,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             made = [own.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [batch.column("doc_id"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), *([batch.column("text_hash")] if text_hash else [])],
+                ["doc_id", "lang_pred", "score", *(["text_hash"] if text_hash else [])],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(text).alias("text_hash")] if text_hash else []))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + (", text_hash long" if text_hash else ""))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -37,10 +37,35 @@ def test_each_stage_against_a_plain_version(spark, documents):
 
 
 def test_stages_take_awkward_and_no_rows(spark, awkward, nothing):
-    for docs in (awkward, nothing):
-        for _, stage in P.STAGES:
-            docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
+    lettered = [(r.doc_id, r.text) for r in awkward.collect() if r.doc_id is not None and any(c.isalpha() for c in r.text or "")]
+    docs, want = awkward, {"language ID": len(lettered), "exact dedup": len(brute.exact_groups(lettered))}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.count() == want.get(name, docs.count()) and docs.count() > 0
+        assert all(r.doc_id is not None for r in docs.collect())
+    for _, stage in P.STAGES:
+        assert stage(spark, nothing, SF).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a text"), (1, "a text"), (1, "atext"), (1, "other"), (3, "a text"), (3, base), (3, base + " end"), (3, base), (4, base + " more"), (5, "123"), (5, "letters"), (6, None), (6, " "), (None, "lost")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda stage: sorted((r.doc_id, r.text or "") for r in stage(spark, docs, SF).collect())
+    assert got(P.drop_exact_copies) == sorted([(1, "a text"), (1, "other"), (3, base), (3, base + " end"), (4, base + " more"), (5, "123"), (5, "letters"), (6, " ")])
+    near = got(P.drop_near_copies)
+    assert near == sorted([(1, "a text"), (1, "atext"), (1, "other"), (3, base + " end"), (5, "123"), (5, "letters"), (6, ""), (6, " ")])
+    known = got(P.keep_known_language)
+    assert known == sorted((i, t) for i, t in rows if i is not None and any(c.isalpha() for c in t or ""))
+
+
+def test_mixing_stage_follows_the_operator(spark, documents):
+    taken = {r.doc_id: (r.size, r.taken) for r in P.mixing.mix_sources(documents).collect()}
+    made: dict = {}
+    for r in P.mix_to_weights(spark, documents, SF).collect():
+        made[r.doc_id] = made.get(r.doc_id, 0) + 1
+    want = {i: 2 if 2 * t >= 3 * n else 1 for i, (n, t) in taken.items() if n and 2 * t >= n}
+    assert made == want
 
 
 def test_queries_are_registered():
