@@ -24,6 +24,10 @@ _CACHE_WORDS = 300_000
 _AGREE = 8
 
 
+#: If a vocabulary's rules give these what the rules below do, words may be looked up one by one.
+_PROBES = ("The quick  Brown fox's 12 jumps\tover 3.5% of it!\n", " don't WE'LL (a-b) x_y ...  é Ñandú “so” – it", "", "A", "supercalifragilistic 2024-01-02 http://a.b/c?d=e&f")
+
+
 class _Words(dict):
     """Word -> (its ids as int32 bytes, its tokens joined by a space); forgets all when full."""
 
@@ -52,17 +56,26 @@ class Codec:
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.words = _Words(self.bare)
         self.names = {}
+        self.plain = True
+        self.plain = all(self.encode(t) == self.library(t) for t in _PROBES)  # else the library does every text
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as int32 bytes, and the decoded text."""
-        if _PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
+        if self.plain and _PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
             words = [self.words[w] for w in _WORD.findall(text.lower())]
             return b"".join([w[0] for w in words]), " ".join([w[1] for w in words])
         made = self.full.encode(text, add_special_tokens=False)
         return np.array(made.ids, np.int32).tobytes(), self.decode(made.ids)
 
+    def library(self, text: str) -> tuple[bytes, str]:
+        """As encode(), by the library alone."""
+        made = self.full.encode(text, add_special_tokens=False)
+        return np.array(made.ids, np.int32).tobytes(), self.full.decode(made.ids, skip_special_tokens=False)
+
     def decode(self, ids) -> str:
-        """As the library's decode with skip_special_tokens=False: this vocabulary has no decoder, so tokens are joined by a space."""
+        """As the library's decode with skip_special_tokens=False: a vocabulary without a decoder joins its tokens by a space."""
+        if not self.plain:
+            return self.full.decode(list(ids), skip_special_tokens=False)
         names = self.names
         for i in set(ids):
             if i not in names:
@@ -230,8 +243,9 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     decode(ids, skip_special_tokens=False). Null, empty and blank texts have no ids and decode to "".
     Repeated rows and ids, and a null id, are kept as they are; other columns are ignored.
 
-    Texts of plain characters are cut by the vocabulary's own pattern and their words looked up in a
-    bounded cache; others up to `leaf` characters go to the library as they are. Longer ones are
+    Where the vocabulary proves to lower-case, split and decode by the fixed rules of this module (each
+    worker probes it), texts of plain characters are cut by that pattern and their words looked up in a
+    bounded cache; others, and all with another vocabulary, up to `leaf` characters go to the library as they are. Longer ones are
     normalised, halved until no piece is longer than `leaf`, and the pieces, which may cut words, are
     dealt out, encoded in parallel, and joined again pairwise in rounds (see join()).
     """

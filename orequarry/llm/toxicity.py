@@ -38,7 +38,7 @@ def _count_terms(batches):
 
     for batch in batches:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
-            counts[label].update({t for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms(w[:64])})
+            counts[label].update({t for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms(w)})
         if len(counts[0]) + len(counts[1]) > 400_000:
             yield from out()
     yield from out()
@@ -66,7 +66,7 @@ def _vectors(vocab: list[str]):
                     if got is None:
                         if len(cache) > _CACHE:
                             cache.clear()
-                        got = cache[w] = tuple(ids[t] for t in terms(w[:64]) if t in ids)
+                        got = cache[w] = tuple(ids[t] for t in terms(w) if t in ids)
                     for t in got:
                         own[t] = own.get(t, 0) + times
                 for t in sorted(own):
