@@ -37,6 +37,28 @@ def md5_number(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def digits_key(text: Column) -> Column:
+    """The digits of the text, one after the other, as a number of up to 38 digits."""
+    return F.regexp_replace(text, "[^0-9]", "").cast("decimal(38,0)")
+
+
+def bytes_modulo(text: Column, n: int) -> Column:
+    """The UTF-8 bytes of the text read as one large number, modulo n (below 2**48), however long the text is."""
+    digits = F.split(F.hex(F.encode(text, "UTF-8")), "")
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, d: F.pmod(acc * 16 + F.conv(d, 16, 10).cast("long"), F.lit(n).cast("long")))
+
+
+def java_hash(text: Column) -> Column:
+    """The JVM's 32-bit hash of a string of the Basic Multilingual Plane's first half: 31 * h + code, with overflow."""
+    wrapped = lambda h: F.pmod(h + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: wrapped(h * 31 + F.ascii(c)))
+
+
+def list_text(items: Column) -> Column:
+    """The items of a list as its literal without the brackets."""
+    return F.array_join(F.transform(items.cast("array<string>"), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
+
+
 def pairs(items: Column) -> Column:
     """All pairs of a sorted array, as an array of two-element arrays."""
     return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.array(x, y))))

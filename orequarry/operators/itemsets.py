@@ -31,6 +31,17 @@ def frequent_singles(table: DataFrame, support: int) -> DataFrame:
     return counted.where(F.col("freq") >= support).select(F.array("item").alias("items"), "freq")
 
 
+def bucket_candidates(table: DataFrame, support: int, n: int, bucket: Column) -> DataFrame:
+    """items: pairs of frequent items whose bucket, of n, is hit by at least `support` pairs; `bucket` is an expression on `pair`."""
+    hashed = table.select(F.explode(pairs(F.col("items"))).alias("pair")).withColumn("bucket", F.pmod(bucket, F.lit(n)))
+    full = pair_buckets(table, n, bucket).where(F.col("pairs") >= support)
+    often = frequent_singles(table, support).select(F.col("items")[0].alias("item"))
+    kept = hashed.distinct().join(F.broadcast(full), "bucket", "left_semi")  # at most n rows
+    kept = kept.withColumn("one", F.col("pair")[0]).withColumn("two", F.col("pair")[1])
+    kept = kept.join(often.withColumnRenamed("item", "one"), "one", "left_semi").join(often.withColumnRenamed("item", "two"), "two", "left_semi")
+    return kept.select(F.col("pair").alias("items"))
+
+
 def candidates(frequent: DataFrame) -> DataFrame:
     """Itemsets one larger: joined on all but the last item, kept if every subset is frequent."""
     parts = frequent.select(F.slice("items", F.lit(1), F.size("items") - 1).alias("head"), F.element_at("items", -1).alias("tail"))

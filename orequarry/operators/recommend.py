@@ -77,9 +77,15 @@ def blend_sweep(scored: DataFrame, ks: list[int]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(str(k)).alias("rmse")) for k in ks])).alias("x")).select("x.k", "x.rmse")
 
 
-def alpha_hybrid(scored: DataFrame, least: int = 5, above: float = 0.9) -> DataFrame:
-    """alpha = (n - least) / (10 + n - least) of the item prediction where more than `least` similarities exceed `above`; else the model's. scored has `strong`, their number."""
-    extra = F.col("strong") - least
+def strong_neighbours(asked: DataFrame, ratings: DataFrame, sims: DataFrame, above: float = 0.9) -> DataFrame:
+    """user, item, strong: how long the head of the neighbours, most similar first, stays above `above`; pairs without any are left out."""
+    near = neighbours(asked, ratings, sims, Ladder(above=above, nonzero_only=False))
+    return near.groupBy("user", "item").agg(F.max("place").cast("long").alias("strong"))
+
+
+def alpha_hybrid(scored: DataFrame, least: int = 5) -> DataFrame:
+    """alpha = (strong - least) / (10 + strong - least) of the item prediction where more than `least` neighbours are strong; else the model's."""
+    extra = F.coalesce(F.col("strong"), F.lit(0)) - least
     alpha = F.when(extra > 0, extra / (extra + 10)).otherwise(0.0)
     return scored.withColumn("prediction", alpha * F.col("item_prediction") + (1 - alpha) * F.col("model_prediction"))
 

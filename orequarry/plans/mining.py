@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orequarry.functions import scalars as S
 from orequarry.operators import itemsets as I
 from orequarry.operators import recommend as C
 from orequarry.operators import similarity as M
@@ -50,6 +51,18 @@ def pcy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.pair_buckets(baskets(spark, sf_dir), 100, bucket)
 
 
+_KEYED_PAIRS_SQL = "SELECT a.item AS one, b.item AS two, CAST(regexp_replace(a.item || b.item, '[^0-9]', '', 'g') AS HUGEINT) % 100 AS bucket FROM basket_rows a JOIN basket_rows b ON a.basket = b.basket AND a.item < b.item"
+
+
+@BOOK.add(f"""WITH {BASKET_ROWS_SQL}, p AS ({_KEYED_PAIRS_SQL}), full_buckets AS (SELECT bucket FROM p GROUP BY 1 HAVING count(*) >= {_SUPPORT_SQL}),
+often AS (SELECT item FROM basket_rows GROUP BY 1 HAVING count(*) >= {_SUPPORT_SQL})
+SELECT DISTINCT one || ',' || two AS items FROM p WHERE bucket IN (SELECT bucket FROM full_buckets) AND one IN (SELECT item FROM often) AND two IN (SELECT item FROM often)""")
+def pcy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = cut_lineage(baskets(spark, sf_dir))
+    made = I.bucket_candidates(table, _support(table.count()), 100, S.digits_key(F.concat(F.col("pair")[0], F.col("pair")[1])))
+    return made.select(F.array_join("items", ",").alias("items"))
+
+
 def _level_sql(k: int) -> str:
     joins = "".join(f" JOIN basket_rows t{i} ON t{i}.basket = t1.basket AND t{i - 1}.item < t{i}.item" for i in range(2, k + 1))
     items = " || ',' || ".join(f"t{i}.item" for i in range(1, k + 1))
@@ -229,7 +242,7 @@ CF_VARIANTS = {
     "cf_with_count": ("plain", C.Ladder(above=0.5)),
     "cf_top_five": ("plain", C.Ladder()),
     "cf_padded": ("plain", C.Ladder(above=0.1)),
-    "cf_top_three": ("plain", C.Ladder(above=0.2, top=3, least_neighbours=3)),
+    "cf_top_three": ("plain", C.Ladder(above=0.8, top=3, least_neighbours=3)),
     "cf_amplified_item_mean": ("amplified", C.Ladder(min_numerator=10.0, fallback="item")),
     "cf_top_two": ("floor", C.Ladder(top=2, least_neighbours=1, default=3.7512)),
     "cf_strict": ("strict", C.Ladder(above=0.05, top=10, least_neighbours=1)),
@@ -282,11 +295,23 @@ def blend_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("user", "item", F.round(made + 1e-9, 5).alias("prediction"))
 
 
-@BOOK.add(f"""{_HYBRID_SQL}, a AS (SELECT *, CASE WHEN n > 5 THEN (n - 5) / (n - 5 + 10) ELSE 0 END AS alpha FROM scored)
-SELECT "user", item, round(alpha * item_prediction + (1 - alpha) * model_prediction + 1e-9, 5) AS prediction FROM a""")
+_WIDE = list(range(10_000, 30_000, 1_000))
+
+
+@BOOK.add(f"{_HYBRID_SQL}, ks AS (SELECT unnest(range(10000, 30000, 1000)) AS k) SELECT CAST(k AS INTEGER) AS k, round(sqrt(avg(pow(stars - (tanh(n / k) * item_prediction + (1 - tanh(n / k)) * model_prediction), 2))), 6) AS rmse FROM scored, ks GROUP BY k")
+def blend_sweep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.blend_sweep(_scored(spark, sf_dir), _WIDE).withColumn("rmse", F.round("rmse", 6))
+
+
+@BOOK.add(f"""{_HYBRID_SQL}, strong AS (SELECT q."user", q.item, count(*) AS strong FROM asked q JOIN train t ON t."user" = q."user"
+  JOIN both_ways s ON s.item = q.item AND s.other = t.item WHERE s.sim > 0.9 AND s.other <> q.item GROUP BY 1, 2),
+a AS (SELECT scored.*, coalesce(strong, 0) AS strong FROM scored LEFT JOIN strong USING ("user", item))
+SELECT "user", item, strong, round(CASE WHEN strong > 5 THEN ((strong - 5) * item_prediction + 10 * model_prediction) / (strong + 5) ELSE model_prediction END + 1e-9, 5) AS prediction FROM a""")
 def alpha_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = C.alpha_hybrid(_scored(spark, sf_dir).withColumn("strong", F.col("n")))
-    return made.select("user", "item", F.round(F.col("prediction") + 1e-9, 5).alias("prediction"))
+    train, asked = _split(spark, sf_dir)
+    strong = C.strong_neighbours(asked.select("user", "item"), train, cut_lineage(M.pearson(train, rule=CF_VARIANTS["cf_padded"][0])))
+    made = C.alpha_hybrid(_scored(spark, sf_dir).join(strong, ["user", "item"], "left"))
+    return made.select("user", "item", F.coalesce("strong", F.lit(0)).alias("strong"), F.round(F.col("prediction") + 1e-9, 5).alias("prediction"))
 
 
 @BOOK.add(f"""{_HYBRID_SQL} SELECT "user", item, round(CASE WHEN n < 3 THEN model_prediction ELSE item_prediction END + 1e-9, 5) AS prediction FROM scored""")

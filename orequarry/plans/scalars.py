@@ -29,6 +29,21 @@ def scalar_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.add("""WITH c AS (SELECT c_custkey, c_mktsegment AS m, c_name AS n FROM customer)
+SELECT c_custkey, CAST(regexp_replace(n || c_custkey, '[^0-9]', '', 'g') AS BIGINT) AS digits,
+CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(m) + 1), lambda i: CAST(ascii(substr(m, i, 1)) AS BIGINT))), lambda h, b: (h * 256 + b) % 69997) AS BIGINT) AS big,
+abs(CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(m) + 1), lambda i: CAST(ascii(substr(m, i, 1)) AS BIGINT))),
+  lambda h, b: (h * 31 + b + 2147483648 + 4294967296 * 64) % 4294967296 - 2147483648) AS BIGINT)) % 119267 AS jvm,
+'''' || c_custkey || ''', ''' || m || '''' AS listed, 'b' AS right_wins, c_custkey AS inverted FROM c""")
+def scalar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey", S.digits_key(F.concat("c_name", key)).cast("long").alias("digits"), S.bytes_modulo(m, 69997).alias("big"), F.pmod(F.abs(S.java_hash(m)), F.lit(119267)).alias("jvm"),
+        S.list_text(F.array(key, m)).alias("listed"), S.right_wins(F.create_map(m, F.lit("a")), F.create_map(m, F.lit("b")))[m].alias("right_wins"),
+        S.inverted(F.create_map(m, F.col("c_custkey")))[F.col("c_custkey")].eqNullSafe(m).cast("long").__mul__(F.col("c_custkey")).alias("inverted"),
+    )
+
+
 @BOOK.add("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, strftime(o_orderdate, '%-m/%-d/') || right(CAST(year(o_orderdate) AS VARCHAR), 2) AS short_day,
 round(date_diff('day', CAST(o_orderdate AS DATE), DATE '2018-01-01') / 365.0, 6) AS age, year(o_orderdate) = 1997 AS in_1997 FROM orders""")
 def scalar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,21 @@ def test_models_learn(spark):
     assert report.rmse < 2
     assert learning.eliminate_features(table, columns, "y", least=3, trees=2).count() == 2
     assert learning.grid_search(table, columns, "y", {"maxDepth": [1, 3]}, folds=2, trees=2).first().params == "maxDepth=3"
+
+
+def test_alpha_hybrid_counts_strong_neighbours(spark):
+    sims = [("a", f"s{i:02}", 0.95 if i < 8 else 0.85) for i in range(12)]
+    ratings = [("u", f"s{i:02}", 4.0) for i in range(12)] + [("v", f"s{i:02}", 2.0) for i in range(7, 12)]
+    asked = spark.createDataFrame([("u", "a"), ("v", "a"), ("w", "a")], "user string, item string")
+    strong = recommend.strong_neighbours(asked, spark.createDataFrame(ratings, "user string, item string, stars double"), spark.createDataFrame(sims, "a string, b string, sim double"))
+    assert {r.user: r.strong for r in strong.collect()} == {"u": 8, "v": 1}
+    scored = asked.join(strong, ["user", "item"], "left").selectExpr("user", "strong", "4.0D AS item_prediction", "2.0D AS model_prediction")
+    made = {r.user: r.prediction for r in recommend.alpha_hybrid(scored).collect()}
+    assert made["v"] == made["w"] == 2.0 and abs(made["u"] - (2 + 2 * 3 / 13)) < 1e-12
+
+
+def test_text_keys(spark):
+    row = spark.createDataFrame([("Hello", "é!", "a1b22")], "a string, b string, c string").select(
+        scalars.java_hash(F.col("a")), scalars.bytes_modulo(F.col("b"), 69997), scalars.digits_key(F.col("c")), scalars.list_text(F.array("a", "c"))
+    ).first()
+    assert tuple(row) == (69609650, int("é!".encode().hex(), 16) % 69997, 122, "'Hello', 'a1b22'")
