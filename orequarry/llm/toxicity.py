@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,114 +18,135 @@ WORD = regex.compile(r"\p{L}+")
 CUT = 0.7
 #: Examples in one block of the index.
 BLOCK = 64
-_STEMS = (4, 5, 6)
+#: Weight of a word that toxic examples don't favour, against 1 for each standard deviation by which they do.
+FLOOR = 0.2
 _CACHE = 300_000
+_TEXTS = 20_000
 
 
-def terms(word: str) -> list[str]:
-    """A word and its stems, marked with *."""
-    return [word, *(word[:n] + "*" for n in _STEMS if len(word) > n)]
+def _bag(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
 
 
-def _count_terms(batches):
-    """Per task: in how many toxic and other examples each term occurs."""
-    counts = (Counter(), Counter())
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def out():
-        for label in (0, 1):
-            rows = list(counts[label].items())
-            counts[label].clear()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([label] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64())], ["term", "label", "n"])
 
+def _bags(batches):
+    """Sorted word hashes and counts of each example."""
     for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
-            counts[label].update({t for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms(w)})
-        if len(counts[0]) + len(counts[1]) > 400_000:
-            yield from out()
-    yield from out()
-
-
-def vocabulary(examples: DataFrame, most: int, least: int = 3, precision: float = 0.3) -> list[str]:
-    """The `most` terms that tell toxic examples best: in at least `least` of them, and `precision` of all that hold it."""
-    counted = examples.select("label", "text").mapInArrow(_count_terms, "term string, label int, n long")
-    tox = F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("tox")
-    best = counted.groupBy("term").agg(tox, F.sum("n").alias("n")).where(f"tox >= {least} AND tox >= {precision} * n")
-    return [r["term"] for r in best.orderBy(F.desc("tox"), "term").limit(most).select("term").toArrow().to_pylist()]
-
-
-def _vectors(vocab: list[str]):
-    ids = {t: i for i, t in enumerate(vocab)}
+        flat, tf, cuts = [], [], [0]
+        for text in batch.column("text"):
+            own = sorted((_hash(w), n) for w, n in _bag(text.as_py()).items())
+            flat += [x[0] for x in own]
+            tf += [x[1] for x in own]
+            cuts.append(len(flat))
+        at = pa.array(cuts, pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(flat, pa.int64())), pa.ListArray.from_arrays(at, pa.array(tf, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "tf"])
+
+
+class _Reader:
+    """Texts as positions in the sorted vocabulary and counts; words outside it are left out."""
+
+    def __init__(self, vocab: np.ndarray):
+        self.vocab, self.known = vocab, {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        bag, known = _bag(text), self.known
+        new = [w for w in bag if w not in known]
+        if new:
+            if len(known) > _CACHE:
+                known.clear()
+                new = list(bag)
+            h = np.array([_hash(w) for w in new], np.int64)
+            at = np.searchsorted(self.vocab, h)
+            there = np.zeros(len(h), bool)
+            inside = at < len(self.vocab)
+            there[inside] = self.vocab[at[inside]] == h[inside]
+            known.update(zip(new, np.where(there, at, -1).tolist(), strict=True))
+        t = np.fromiter((known[w] for w in bag), np.int64, len(bag))
+        tf = np.fromiter(bag.values(), float, len(bag))
+        order = np.argsort(t, kind="stable")
+        order = order[t[order] >= 0]
+        return t[order], tf[order]
+
+
+def _held(vocab):
+    """Per task: how many rows there are (term -1) and how many hold each term."""
 
     def run(batches):
-        cache: dict[str, tuple] = {}
+        read, counts, rows = _Reader(vocab.value), np.zeros(len(vocab.value), np.int64), 0
         for batch in batches:
-            flat, tf, cuts = [], [], [0]
+            rows += batch.num_rows
             for text in batch.column("text"):
-                own: dict[int, int] = {}
-                for w, times in Counter(WORD.findall((text.as_py() or "").lower())).items():
-                    got = cache.get(w)
-                    if got is None:
-                        if len(cache) > _CACHE:
-                            cache.clear()
-                        got = cache[w] = tuple(ids[t] for t in terms(w) if t in ids)
-                    for t in got:
-                        own[t] = own.get(t, 0) + times
-                for t in sorted(own):
-                    flat.append(t)
-                    tf.append(own[t])
-                cuts.append(len(flat))
-            at = pa.array(cuts, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(at, pa.array(tf, pa.int32()))],
-                ["doc_id", "terms", "tf"],
-            )
+                counts[read(text.as_py())[0]] += 1
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(counts[held], rows))], ["term", "n"])
 
     return run
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
+
+
 class BlockMaxIndex:
-    """Unit vectors of the examples as inverted lists; each list knows its largest weight in every block."""
+    """Unit vectors of the examples as inverted lists; each list knows its largest weight in every block it reaches."""
 
     def __init__(self, doc_ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.doc_ids, self.labels = np.array(doc_ids, np.int64), np.array(labels, float)
-        blocks = -(-len(doc_ids) // BLOCK)
-        lists: list[list] = [[] for _ in range(n_terms)]
-        for i, (t, w) in enumerate(vectors):
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                lists[term].append((i, weight))
-        self.most = np.zeros((n_terms, blocks))
-        self.cuts = np.zeros((n_terms, blocks + 1), np.int64)
-        self.postings = []
-        for term, own in enumerate(lists):
-            at, weight = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own])
-            np.maximum.at(self.most[term], at // BLOCK, weight)
-            self.cuts[term] = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            self.postings.append((at, weight))
+        self.blocks = -(-len(doc_ids) // BLOCK)
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(term, kind="stable")
+        term, self.at, self.own = term[order], at[order], weight[order]
+        # A run: the part of one list that lies in one block.
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)
+        self.start = np.flatnonzero(first)
+        self.length = np.diff(np.append(self.start, len(term)))
+        self.block = self.at[self.start] // BLOCK
+        self.most = np.maximum.reduceat(self.own, self.start) if len(term) else np.empty(0)
+        self.runs = np.searchsorted(term[self.start], np.arange(n_terms + 1))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest with a positive cosine, nearest first, ties to the lower position.
 
-        Blocks are opened in order of their bound; the rest stay shut once the bound is below the k-th cosine.
+        Blocks are opened in order of their bound, in growing groups; the rest stay shut once the bound is below the
+        k-th cosine.
         """
-        if not len(t) or not len(self.doc_ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.most[t]
         found, sims, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < worst - 1e-12:
+        if not len(t) or not len(self.doc_ids):
+            return found, sims
+        many = self.runs[t + 1] - self.runs[t]
+        runs, weight = _ranges(self.runs[t], many), np.repeat(w, many)
+        block = self.block[runs]
+        bounds = np.bincount(block, weights=weight * self.most[runs], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        done, step = 0, 4
+        while done < len(order):
+            group = order[done : done + step]
+            group = group[(bounds[group] > 0) & (bounds[group] >= worst - 1e-12)]
+            if not len(group):
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                at, own = self.postings[term]
-                low, high = self.cuts[term, block], self.cuts[term, block + 1]
-                scores[at[low:high] - block * BLOCK] += weight * own[low:high]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[group] = True
+            mine = wanted[block]
+            length = self.length[runs[mine]]
+            posts = _ranges(self.start[runs[mine]], length)
+            scores = np.bincount(self.at[posts], weights=np.repeat(weight[mine], length) * self.own[posts], minlength=len(self.doc_ids))
             hit = np.flatnonzero(scores > 0)
-            found, sims = np.concatenate([found, hit + block * BLOCK]), np.concatenate([sims, scores[hit]])
+            found, sims = np.concatenate([found, hit]), np.concatenate([sims, scores[hit]])
             if len(found) > k:
                 keep = np.lexsort((found, -sims))[:k]
                 found, sims = found[keep], sims[keep]
                 worst = sims[-1]
-        order = np.lexsort((found, -sims))
+            done, step = done + step, step * 4
+        order = np.lexsort((found, -sims))[:k]
         return found[order], sims[order]
 
     def vote(self, at: np.ndarray, sims: np.ndarray, prior: float) -> tuple[float, list[tuple[int, float]]]:
@@ -134,68 +156,98 @@ class BlockMaxIndex:
         return score, list(zip(self.doc_ids[at[:3]].tolist(), sims[:3].tolist(), strict=True))
 
 
-def _unit(t: list[int], tf: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(t, np.int64)
-    w = (1 + np.log(np.array(tf, float))) * idf[t]
+def _unit(t: np.ndarray, tf: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(tf)) * weights[t]
     return t, w / max(float(np.sqrt(w @ w)), 1e-12)
 
 
+def _favour(terms: list[np.ndarray], toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """By how many standard deviations more toxic examples hold each term than their share of all that hold it; 0 if fewer."""
+    held, bad = np.zeros(n_terms), np.zeros(n_terms)
+    for own, label in zip(terms, toxic, strict=True):
+        held[own] += 1
+        bad[own] += label
+    share = float(toxic.sum()) / max(len(toxic), 1)
+    return np.maximum((bad - held * share) / np.sqrt(held * share * (1 - share) + 1), 0)
+
+
+def _examples(rows: DataFrame, chosen: DataFrame, postings: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """doc_ids, labels and (word hashes, counts) of the chosen rows, while their words fit in `postings`."""
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    bags = materialize(one.mapInArrow(_bags, "doc_id long, label int, terms array<long>, tf array<int>").withColumn("h", F.xxhash64("doc_id")))
+    sizes = bags.select("h", "doc_id", F.size("terms").alias("n")).toPandas().sort_values(["h", "doc_id"], kind="stable")
+    fits = sizes[sizes["n"].cumsum() <= postings]
+    if not len(fits):
+        return np.empty(0, np.int64), np.empty(0, np.int64), []
+    last = F.struct(F.lit(int(fits["h"].iloc[-1])).alias("h"), F.lit(int(fits["doc_id"].iloc[-1])).alias("doc_id"))
+    table = bags.where(F.struct("h", "doc_id") <= last).drop("h").toArrow().combine_chunks().sort_by("doc_id")
+    flat = [(row.values.to_numpy(), tf.values.to_numpy().astype(float)) for row, tf in zip(table["terms"], table["tf"], strict=True)]
+    return table["doc_id"].to_numpy(), table["label"].to_numpy(), flat
+
+
 def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     k: int = 16,
-    sample: int = 40_000,
-    most_terms: int = 2048,
-    most_examples: int = 8192,
+    sample: int = 8192,
+    postings: int = 4_000_000,
 ) -> DataFrame:
     """doc_id, score (0 to 1), predicted, evidence: one row per row of docs; labels: doc_id, label of the rows to learn from.
 
-    At most `sample` labelled documents (smallest hashes of their ids) choose the terms; those of them
-    that hold a term, at most `most_examples`, are the index. Document frequencies are counted over all
-    of docs. evidence: id and cosine of the three nearest examples, never the row itself. A text without any term, null and
-    empty texts included, has no neighbours and gets the share of toxic among such labelled texts.
-    Repeated rows and a null id are scored as they are; other columns are ignored; no rows give no rows;
-    without labels the score is 0.
+    At most `sample` labelled documents (smallest hashes of their ids, as many of them as have at most `postings`
+    different words together) are the examples. Every word of theirs is a term, all of them are in the index, and each
+    text is compared by all such words that it holds; words that no example holds have no place in the vectors. Weight
+    of a term: 1 + log of its count, times its inverse document frequency over all of docs, times FLOOR plus the
+    standard deviations by which toxic examples favour it. Words are told apart by 64-bit hashes.
+
+    evidence: id and cosine of the three nearest examples, never the row itself. A text without any term, null and
+    empty texts included, has no neighbours and gets the share of toxic examples. Of rows that repeat an example's id,
+    the one with the smallest hash of its text is the example. Repeated rows and a null id are scored as they are;
+    other columns are ignored; no rows give no rows; without labels the score is 0.
     """
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    examples = rows.join(F.broadcast(chosen), "doc_id")  # bounded by `sample`
-    vocab = vocabulary(examples, most_terms)
-    vectors = materialize(rows.mapInArrow(_vectors(vocab), "doc_id long, terms array<int>, tf array<int>"))
-    held = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow().to_pydict()  # at most most_terms rows
-    total = vectors.count()
-    idf = np.full(max(1, len(vocab)), 1.0)
-    for term, n in zip(held["term"], held["count"], strict=True):
-        idf[term] = np.log((total + 1) / (n + 1)) + 1
-    labelled = vectors.join(F.broadcast(chosen), "doc_id")
-    none = labelled.where(F.size("terms") == 0).agg(F.sum("label").alias("tox"), F.count(F.lit(1)).alias("n")).first()
-    prior = (none["tox"] or 0) / (none["n"] + 1)
-    index_rows = labelled.where(F.size("terms") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples).toArrow().to_pylist()
-    index_rows.sort(key=lambda r: (r["label"], r["terms"], r["doc_id"]))  # like examples share blocks, so bounds are tight
-    packed = ([r["doc_id"] for r in index_rows], [r["label"] for r in index_rows], [_unit(r["terms"], r["tf"], idf) for r in index_rows], max(1, len(vocab)))
-    shared = docs.sparkSession.sparkContext.broadcast((packed, idf, prior))
+    chosen = materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # bounded, so it may be broadcast
+    ids, marks, bags = _examples(rows, chosen, postings)
+    vocab, term = np.unique(np.concatenate([np.empty(0, np.int64), *(t for t, _ in bags)]), return_inverse=True)
+    terms = np.split(term, np.cumsum([len(t) for t, _ in bags])[:-1]) if bags else []
+    favour = _favour(terms, marks, len(vocab))
+    words = context.broadcast(vocab)
+    held = rows.select("text").mapInArrow(_held(words), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term
+    held = dict(zip(held["term"].to_pylist(), held["n"].to_pylist(), strict=True))
+    total = held.pop(-1, 0)
+    counts = np.zeros(len(vocab))
+    counts[list(held)] = list(held.values())
+    weights = (np.log((total + 1) / (counts + 1)) + 1) * (FLOOR + favour)
+    vectors = [_unit(t, tf, weights) for t, (_, tf) in zip(terms, bags, strict=True)]
+    # Like examples share blocks, so bounds are tight: by label and strongest term.
+    order = sorted(range(len(ids)), key=lambda i: (marks[i], vectors[i][0][np.argmax(vectors[i][1])] if len(vectors[i][0]) else -1, ids[i]))
+    index = BlockMaxIndex([ids[i] for i in order], [marks[i] for i in order], [vectors[i] for i in order], len(vocab))
+    prior = float(marks.sum()) / (len(marks) + 1)
+    shared = context.broadcast((index, weights, prior))
 
     def run(batches):
-        packed, idf, prior = shared.value
-        index, known = BlockMaxIndex(*packed), {}
+        index, weights, prior = shared.value
+        read, known = _Reader(words.value), {}
         for batch in batches:
             scores, evidence = [], []
-            for doc_id, t, tf in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "tf")), strict=True):
-                key = (tuple(t), tuple(tf))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
                 got = known.get(key)
                 if got is None:
-                    if len(known) > 100_000:
+                    if len(known) > _TEXTS:
                         known.clear()
-                    got = known[key] = index.nearest(*_unit(t, tf, idf), k + 1)
+                    got = known[key] = index.nearest(*_unit(*read(text), weights), k + 1)
                 other = index.doc_ids[got[0]] != doc_id  # an example is no neighbour of itself
-                got = index.vote(got[0][other][:k], got[1][other][:k], prior) if t else (prior, [])
-                scores.append(got[0])
-                evidence.append([{"doc_id": a, "cosine": b} for a, b in got[1]])
+                score, near = index.vote(got[0][other][:k], got[1][other][:k], prior)
+                scores.append(score)
+                evidence.append([{"doc_id": a, "cosine": b} for a, b in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
-    made = vectors.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
+    made = rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
     return made.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
