@@ -18,6 +18,8 @@ WORD = regex.compile(r"\p{L}+")
 CUT = 0.7
 #: Examples in one block of the index.
 BLOCK = 64
+#: Blocks opened before any cosine is known.
+_FIRST = 4
 #: Weight of a word that toxic examples don't favour, against 1 for each standard deviation by which they do.
 FLOOR = 0.2
 _CACHE = 300_000
@@ -53,34 +55,54 @@ class _Reader:
         self.vocab, self.known = vocab, {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        bag, known = _bag(text), self.known
-        new = [w for w in bag if w not in known]
-        if new:
-            if len(known) > _CACHE:
-                known.clear()
-                new = list(bag)
-            h = np.array([_hash(w) for w in new], np.int64)
-            at = np.searchsorted(self.vocab, h)
-            there = np.zeros(len(h), bool)
-            inside = at < len(self.vocab)
-            there[inside] = self.vocab[at[inside]] == h[inside]
-            known.update(zip(new, np.where(there, at, -1).tolist(), strict=True))
-        t = np.fromiter((known[w] for w in bag), np.int64, len(bag))
-        tf = np.fromiter(bag.values(), float, len(bag))
+        bag = _bag(text)
+        try:
+            t = list(map(self.known.__getitem__, bag))
+        except KeyError:
+            self._learn(bag)
+            t = list(map(self.known.__getitem__, bag))
+        t, tf = np.array(t, np.int32), np.fromiter(bag.values(), np.int32, len(bag))
         order = np.argsort(t, kind="stable")
-        order = order[t[order] >= 0]
+        order = order[np.searchsorted(t, 0, sorter=order) :]
         return t[order], tf[order]
 
+    def _learn(self, bag: Counter) -> None:
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        new = [w for w in bag if w not in self.known]
+        h = np.array([_hash(w) for w in new], np.int64)
+        at = np.searchsorted(self.vocab, h)
+        there = np.zeros(len(h), bool)
+        inside = at < len(self.vocab)
+        there[inside] = self.vocab[at[inside]] == h[inside]
+        self.known.update(zip(new, np.where(there, at, -1).tolist(), strict=True))
 
-def _held(vocab):
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    cuts = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+
+
+def _vectors(vocab):
+    """Each row's terms and their counts."""
+
+    def run(batches):
+        read = _Reader(vocab.value)
+        for batch in batches:
+            made = [read(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([m[0] for m in made]), _lists([m[1] for m in made])], ["doc_id", "terms", "tf"])
+
+    return run
+
+
+def _held(n_terms: int):
     """Per task: how many rows there are (term -1) and how many hold each term."""
 
     def run(batches):
-        read, counts, rows = _Reader(vocab.value), np.zeros(len(vocab.value), np.int64), 0
+        counts, rows = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column("text"):
-                counts[read(text.as_py())[0]] += 1
+            counts += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(counts[held], rows))], ["term", "n"])
 
@@ -101,53 +123,59 @@ class BlockMaxIndex:
         self.blocks = -(-len(doc_ids) // BLOCK)
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        at = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.argsort(term, kind="stable")
         term, self.at, self.own = term[order], at[order], weight[order]
+        self.lists = np.searchsorted(term, np.arange(n_terms + 1))
         # A run: the part of one list that lies in one block.
         first = np.ones(len(term), bool)
         first[1:] = (term[1:] != term[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)
         self.start = np.flatnonzero(first)
-        self.length = np.diff(np.append(self.start, len(term)))
         self.block = self.at[self.start] // BLOCK
         self.most = np.maximum.reduceat(self.own, self.start) if len(term) else np.empty(0)
         self.runs = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+        self.start = np.append(self.start, len(term))
+
+    def _scores(self, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Every example's sum over the given parts of lists."""
+        length = ends - starts
+        posts = _ranges(starts, length)
+        return np.bincount(self.at[posts], weights=np.repeat(weight, length) * self.own[posts], minlength=len(self.doc_ids))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest with a positive cosine, nearest first, ties to the lower position.
 
-        Blocks are opened in order of their bound, in growing groups; the rest stay shut once the bound is below the
-        k-th cosine.
+        The blocks of the highest bounds are opened first, then all others whose bound reaches the k-th cosine found;
+        the rest stay shut. Where most blocks are open, whole lists are read instead of their runs.
         """
-        found, sims, worst = np.empty(0, np.int64), np.empty(0), 0.0
+        found, sims = np.empty(0, np.int64), np.empty(0)
         if not len(t) or not len(self.doc_ids):
             return found, sims
         many = self.runs[t + 1] - self.runs[t]
         runs, weight = _ranges(self.runs[t], many), np.repeat(w, many)
         block = self.block[runs]
         bounds = np.bincount(block, weights=weight * self.most[runs], minlength=self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        done, step = 0, 4
-        while done < len(order):
-            group = order[done : done + step]
-            group = group[(bounds[group] > 0) & (bounds[group] >= worst - 1e-12)]
-            if not len(group):
-                break
+        left = bounds > 0
+        for group in (np.argsort(-bounds, kind="stable")[:_FIRST], slice(None)):
             wanted = np.zeros(self.blocks, bool)
-            wanted[group] = True
-            mine = wanted[block]
-            length = self.length[runs[mine]]
-            posts = _ranges(self.start[runs[mine]], length)
-            scores = np.bincount(self.at[posts], weights=np.repeat(weight[mine], length) * self.own[posts], minlength=len(self.doc_ids))
-            hit = np.flatnonzero(scores > 0)
+            wanted[group] = left[group]
+            if len(found) == k:
+                wanted &= bounds >= sims[-1] - 1e-12
+            if not wanted.any():
+                break
+            if 2 * int(wanted.sum()) > self.blocks:
+                scores = self._scores(self.lists[t], self.lists[t + 1], w)
+                found, sims = found[:0], sims[:0]  # every block is read, those seen before too
+            else:
+                mine = wanted[block]
+                scores = self._scores(self.start[runs[mine]], self.start[runs[mine] + 1], weight[mine])
+            left &= ~wanted
+            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            hit = np.flatnonzero((scores >= least) & (scores > 0))
             found, sims = np.concatenate([found, hit]), np.concatenate([sims, scores[hit]])
-            if len(found) > k:
-                keep = np.lexsort((found, -sims))[:k]
-                found, sims = found[keep], sims[keep]
-                worst = sims[-1]
-            done, step = done + step, step * 4
-        order = np.lexsort((found, -sims))[:k]
-        return found[order], sims[order]
+            keep = np.lexsort((found, -sims))[:k]
+            found, sims = found[keep], sims[keep]
+        return found, sims
 
     def vote(self, at: np.ndarray, sims: np.ndarray, prior: float) -> tuple[float, list[tuple[int, float]]]:
         """Share of toxic among neighbours, each weighted by closeness, with one far vote for the prior."""
@@ -216,7 +244,8 @@ def toxicity_scores(
     terms = np.split(term, np.cumsum([len(t) for t, _ in bags])[:-1]) if bags else []
     favour = _favour(terms, marks, len(vocab))
     words = context.broadcast(vocab)
-    held = rows.select("text").mapInArrow(_held(words), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term
+    texts = materialize(rows.mapInArrow(_vectors(words), "doc_id long, terms array<int>, tf array<int>"))
+    held = texts.select("terms").mapInArrow(_held(len(vocab)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term
     held = dict(zip(held["term"].to_pylist(), held["n"].to_pylist(), strict=True))
     total = held.pop(-1, 0)
     counts = np.zeros(len(vocab))
@@ -231,17 +260,17 @@ def toxicity_scores(
 
     def run(batches):
         index, weights, prior = shared.value
-        read, known = _Reader(words.value), {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             scores, evidence = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+            for doc_id, t, tf in zip(batch.column("doc_id").to_pylist(), batch.column("terms"), batch.column("tf"), strict=True):
+                t, tf = t.values.to_numpy(zero_copy_only=False), tf.values.to_numpy(zero_copy_only=False)
+                key = xxhash.xxh3_128_digest(t.tobytes() + tf.tobytes())
                 got = known.get(key)
                 if got is None:
                     if len(known) > _TEXTS:
                         known.clear()
-                    got = known[key] = index.nearest(*_unit(*read(text), weights), k + 1)
+                    got = known[key] = index.nearest(*_unit(t, tf, weights), k + 1)
                 other = index.doc_ids[got[0]] != doc_id  # an example is no neighbour of itself
                 score, near = index.vote(got[0][other][:k], got[1][other][:k], prior)
                 scores.append(score)
@@ -249,5 +278,5 @@ def toxicity_scores(
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
-    made = rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
+    made = texts.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
     return made.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
