@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -128,3 +132,28 @@ def repeated_chains(rows: list[tuple], min_words: int, k: int, percent: int, rea
             if x not in paras:
                 break
     return out
+
+
+def toxicity(rows: list[tuple], labels: dict, k: int, floor: float) -> list[tuple]:
+    """doc_id and score of every row: cosines to all labelled rows over all of their words; ids are unique."""
+    bags = {i: Counter(regex.findall(r"\p{L}+", (t or "").lower())) for i, t in rows}
+    known = {i: labels[i] for i in bags if i in labels}
+    bad = sum(known.values())
+    share, weight = bad / max(len(known), 1), {}
+    for term in {t for i in known for t in bags[i]}:
+        held = sum(term in bags[i] for i in known)
+        toxic = sum(term in bags[i] for i in known if known[i])
+        favour = max((toxic - held * share) / math.sqrt(held * share * (1 - share) + 1), 0)
+        weight[term] = (math.log((len(rows) + 1) / (sum(term in b for b in bags.values()) + 1)) + 1) * (floor + favour)
+    vectors = {}
+    for i, bag in bags.items():
+        own = {t: (1 + math.log(n)) * weight[t] for t, n in bag.items() if t in weight}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        vectors[i] = {t: w / norm for t, w in own.items()}
+    prior, out = bad / (len(known) + 1), []
+    for i, own in vectors.items():
+        sims = [(sum(w * vectors[e].get(t, 0) for t, w in own.items()), known[e]) for e in known if e != i]
+        near = sorted(((-round(s, 10), y) for s, y in sims if s > 0))[:k]
+        votes = [(1 / (1.05 + min(max(s, -1.0), 0.0)), y) for s, y in near]
+        out.append((i, (sum(v * y for v, y in votes) + prior) / (sum(v for v, _ in votes) + 1)))
+    return out

@@ -98,6 +98,14 @@ def test_toxicity_on_awkward_rows(awkward, nothing, spark):
     assert toxicity.toxicity_scores(nothing, marks).count() == 0
 
 
+def test_toxicity_equals_plain_cosines(documents, labels):
+    marks = labelled(labels, "toxic", 3, 1)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    want = dict(brute.toxicity(rows, {r.doc_id: r.label for r in marks.collect()}, 16, toxicity.FLOOR))
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(documents, marks).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_block_max_search_is_exact():
     draw = np.random.default_rng(3)
     terms, n = 40, 700
