@@ -20,6 +20,10 @@ CUT = 0.7
 BLOCK = 64
 #: Blocks opened before any cosine is known.
 _FIRST = 4
+#: At most so many of the longest lists, each held by an eighth of the examples or more, are kept as rows of a matrix.
+_FULL = 192
+#: Texts scored against them at once: 16 x 192 x 64 is a product too small for BLAS to wake further threads.
+_TOGETHER = 16
 #: Weight of a word that toxic examples don't favour, against 1 for each standard deviation by which they do.
 FLOOR = 0.2
 _CACHE = 300_000
@@ -116,7 +120,11 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples as inverted lists; each list knows its largest weight in every block it reaches."""
+    """Unit vectors of the examples as inverted lists; each list knows its largest weight in every block it reaches.
+
+    The longest lists reach every block with much the same weight, so their bounds shut nothing: they are full rows of
+    each block, whose part of all cosines is a matrix product, and only the others are read block by block.
+    """
 
     def __init__(self, doc_ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.doc_ids, self.labels = np.array(doc_ids, np.int64), np.array(labels, float)
@@ -124,6 +132,15 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         at = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        length = np.bincount(term, minlength=n_terms)
+        long = np.argsort(-length, kind="stable")[:_FULL]
+        long = long[8 * length[long] >= max(len(doc_ids), 1)]
+        self.row = np.full(n_terms, -1)
+        self.row[long] = np.arange(len(long))
+        self.full = np.zeros((self.blocks, len(long), BLOCK))
+        mine = self.row[term] >= 0
+        self.full[at[mine] // BLOCK, self.row[term[mine]], at[mine] % BLOCK] = weight[mine]
+        term, at, weight = term[~mine], at[~mine], weight[~mine]
         order = np.argsort(term, kind="stable")
         term, self.at, self.own = term[order], at[order], weight[order]
         self.lists = np.searchsorted(term, np.arange(n_terms + 1))
@@ -136,43 +153,65 @@ class BlockMaxIndex:
         self.runs = np.searchsorted(term[self.start], np.arange(n_terms + 1))
         self.start = np.append(self.start, len(term))
 
-    def _scores(self, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Every example's sum over the given parts of lists."""
+    def _listed(self, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Every example's sum over the given parts of lists, a row for each block."""
         length = ends - starts
         posts = _ranges(starts, length)
-        return np.bincount(self.at[posts], weights=np.repeat(weight, length) * self.own[posts], minlength=len(self.doc_ids))
+        sums = np.bincount(self.at[posts], weights=np.repeat(weight, length) * self.own[posts], minlength=self.blocks * BLOCK)
+        return sums.reshape(-1, BLOCK)
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each text."""
+        made = []
+        for i in range(0, len(texts), _TOGETHER):
+            group = texts[i : i + _TOGETHER]
+            asked = np.zeros((len(group), self.full.shape[1]))
+            for j, (t, w) in enumerate(group):
+                row = self.row[t]
+                asked[j, row[row >= 0]] = w[row >= 0]
+            sums = (asked @ self.full).swapaxes(0, 1)
+            made += [self._nearest(t, w, own, k) for (t, w), own in zip(group, sums, strict=True)]
+        return made
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest with a positive cosine, nearest first, ties to the lower position.
 
         The blocks of the highest bounds are opened first, then all others whose bound reaches the k-th cosine found;
-        the rest stay shut. Where most blocks are open, whole lists are read instead of their runs.
+        the rest stay shut. Where most blocks are open, whole lists are read instead of their runs. Cosines are rounded
+        to 12 places, so that equal examples tie.
         """
+        return self.nearest_of([(t, w)], k)[0]
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, full: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """full: what the full rows give each example, a row for each block."""
         found, sims = np.empty(0, np.int64), np.empty(0)
         if not len(t) or not len(self.doc_ids):
             return found, sims
+        listed = self.row[t] < 0
+        t, w = t[listed], w[listed]
         many = self.runs[t + 1] - self.runs[t]
         runs, weight = _ranges(self.runs[t], many), np.repeat(w, many)
         block = self.block[runs]
-        bounds = np.bincount(block, weights=weight * self.most[runs], minlength=self.blocks)
+        bounds = np.bincount(block, weights=weight * self.most[runs], minlength=self.blocks) + full.max(1)
         left = bounds > 0
         for group in (np.argsort(-bounds, kind="stable")[:_FIRST], slice(None)):
             wanted = np.zeros(self.blocks, bool)
             wanted[group] = left[group]
             if len(found) == k:
-                wanted &= bounds >= sims[-1] - 1e-12
-            if not wanted.any():
+                wanted &= bounds >= sims[-1] - 1e-9
+            opened = np.flatnonzero(wanted)
+            if not len(opened):
                 break
-            if 2 * int(wanted.sum()) > self.blocks:
-                scores = self._scores(self.lists[t], self.lists[t + 1], w)
-                found, sims = found[:0], sims[:0]  # every block is read, those seen before too
+            if 2 * len(opened) > self.blocks:
+                sums = self._listed(self.lists[t], self.lists[t + 1], w)
             else:
                 mine = wanted[block]
-                scores = self._scores(self.start[runs[mine]], self.start[runs[mine] + 1], weight[mine])
-            left &= ~wanted
-            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+                sums = self._listed(self.start[runs[mine]], self.start[runs[mine] + 1], weight[mine])
+            left[opened] = False
+            scores = np.round(sums[opened] + full[opened], 12).ravel()
+            least = sims[-1] if len(found) == k else np.partition(scores, -k)[-k] if len(scores) > k else 0.0
             hit = np.flatnonzero((scores >= least) & (scores > 0))
-            found, sims = np.concatenate([found, hit]), np.concatenate([sims, scores[hit]])
+            found, sims = np.concatenate([found, opened[hit // BLOCK] * BLOCK + hit % BLOCK]), np.concatenate([sims, scores[hit]])
             keep = np.lexsort((found, -sims))[:k]
             found, sims = found[keep], sims[keep]
         return found, sims
@@ -262,17 +301,22 @@ def toxicity_scores(
         index, weights, prior = shared.value
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            scores, evidence = [], []
-            for doc_id, t, tf in zip(batch.column("doc_id").to_pylist(), batch.column("terms"), batch.column("tf"), strict=True):
+            keys, asked = [], {}
+            for t, tf in zip(batch.column("terms"), batch.column("tf"), strict=True):
                 t, tf = t.values.to_numpy(zero_copy_only=False), tf.values.to_numpy(zero_copy_only=False)
-                key = xxhash.xxh3_128_digest(t.tobytes() + tf.tobytes())
-                got = known.get(key)
-                if got is None:
-                    if len(known) > _TEXTS:
-                        known.clear()
-                    got = known[key] = index.nearest(*_unit(t, tf, weights), k + 1)
-                other = index.doc_ids[got[0]] != doc_id  # an example is no neighbour of itself
-                score, near = index.vote(got[0][other][:k], got[1][other][:k], prior)
+                keys.append(xxhash.xxh3_128_digest(t.tobytes() + tf.tobytes()))
+                if keys[-1] not in known:
+                    asked[keys[-1]] = _unit(t, tf, weights)
+            got = {key: known[key] for key in keys if key in known}
+            if len(known) > _TEXTS:
+                known.clear()
+            got.update(zip(asked, index.nearest_of(list(asked.values()), k + 1), strict=True))
+            known.update(got)
+            scores, evidence = [], []
+            for doc_id, key in zip(batch.column("doc_id").to_pylist(), keys, strict=True):
+                at, sims = got[key]
+                other = index.doc_ids[at] != doc_id  # an example is no neighbour of itself
+                score, near = index.vote(at[other][:k], sims[other][:k], prior)
                 scores.append(score)
                 evidence.append([{"doc_id": a, "cosine": b} for a, b in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
