@@ -131,11 +131,11 @@ class BlockMaxIndex:
         self.blocks = -(-len(doc_ids) // BLOCK)
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-        at = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         length = np.bincount(term, minlength=n_terms)
         long = np.argsort(-length, kind="stable")[:_FULL]
         long = long[8 * length[long] >= max(len(doc_ids), 1)]
-        self.row = np.full(n_terms, -1)
+        self.row = np.full(n_terms, -1, np.int32)
         self.row[long] = np.arange(len(long))
         self.full = np.zeros((self.blocks, len(long), BLOCK))
         mine = self.row[term] >= 0
@@ -143,15 +143,15 @@ class BlockMaxIndex:
         term, at, weight = term[~mine], at[~mine], weight[~mine]
         order = np.argsort(term, kind="stable")
         term, self.at, self.own = term[order], at[order], weight[order]
-        self.lists = np.searchsorted(term, np.arange(n_terms + 1))
+        self.lists = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
         # A run: the part of one list that lies in one block.
         first = np.ones(len(term), bool)
         first[1:] = (term[1:] != term[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)
-        self.start = np.flatnonzero(first)
+        self.start = np.flatnonzero(first).astype(np.int32)
         self.block = self.at[self.start] // BLOCK
         self.most = np.maximum.reduceat(self.own, self.start) if len(term) else np.empty(0)
-        self.runs = np.searchsorted(term[self.start], np.arange(n_terms + 1))
-        self.start = np.append(self.start, len(term))
+        self.runs = np.searchsorted(term[self.start], np.arange(n_terms + 1)).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(term)))
 
     def _listed(self, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Every example's sum over the given parts of lists, a row for each block."""
