@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from orequarry.llm.storage import materialize
 
 WORD = regex.compile(r"\p{L}+")
+#: What ASCII characters become before words are split at blanks.
+_ASCII = "".join(chr(i).lower() if chr(i).isalpha() else " " for i in range(128))
 #: predicted is 1 from this score on.
 CUT = 0.7
 #: Examples in one block of the index.
@@ -31,7 +33,8 @@ _TEXTS = 20_000
 
 
 def _bag(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    text = text or ""
+    return Counter(text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower()))
 
 
 def _hash(word: str) -> int:

@@ -106,7 +106,17 @@ def test_toxicity_equals_plain_cosines(documents, labels):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
-def test_block_max_search_is_exact():
+def test_words_of_ascii_texts_follow_the_pattern():
+    every = "".join(map(chr, range(128)))
+    for text in (every, every[::-1] + "B-a_B 7up\x1cUP\x00up", "", " ", *(t or "" for _, t in AWKWARD)):
+        for t in (text, text + "Él"):
+            assert toxicity._bag(t) == Counter(toxicity.WORD.findall(t.lower()))
+
+
+@pytest.mark.parametrize("full", [192, 0])
+def test_block_max_search_is_exact(full, monkeypatch):
+    """With the longest lists as full rows, and with none."""
+    monkeypatch.setattr(toxicity, "_FULL", full)
     draw = np.random.default_rng(3)
     terms, n = 40, 700
     vectors = []
