@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orequarry.functions import scalars
-from orequarry.operators import clustering, features, graph, itemsets, learning, recommend, relational, sequences, similarity, sketches
+from orequarry.operators import clustering, copairs, features, graph, itemsets, learning, recommend, relational, sequences, similarity, sketches
 from orequarry.plans.structures import toy_edges
 
 def plain_cost(a, b):
@@ -224,3 +225,74 @@ def test_text_keys(spark):
         scalars.java_hash(F.col("a")), scalars.bytes_modulo(F.col("b"), 69997), scalars.digits_key(F.col("c")), scalars.list_text(F.array("a", "c"))
     ).first()
     assert tuple(row) == (69609650, int("é!".encode().hex(), 16) % 69997, 122, "'Hello', 'a1b22'")
+
+
+def pair_rows():
+    """Ratings with users and items of many kinds: repeated, null, alone, constant."""
+    draw = random.Random(8)
+    rows = [(f"u{u}", f"i{i:02}", draw.choice([1.0, 2.2, 3.1, 4.7, 5.0])) for u in range(40) for i in draw.sample(range(25), draw.randrange(1, 14))]
+    rows += [(u, i, 2.2) for u in ("u1", "u2", "u3", "u4") for i in ("same", "i03", "i04")]
+    return rows + [("u1", "i03", 5.0), ("u5", "i05", None), (None, "i05", 3.0), ("u6", None, 3.0), ("lone", "only", 4.0)]
+
+
+def by_pair(rows):
+    """(a, b) -> the users' ratings of both, in plain loops."""
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    out = {}
+    for u, a, x in known:
+        for v, b, y in known:
+            if u == v and a < b:
+                out.setdefault((a, b), []).append((x, y))
+    return out
+
+
+@pytest.mark.parametrize("size", [60, 16_000_000])
+def test_pearson_by_blocks_equals_plain_loops(spark, monkeypatch, size):
+    monkeypatch.setattr(copairs, "BLOCK", size)
+    rows = pair_rows()
+    table = spark.createDataFrame(rows, "user string, item string, stars double")
+    stars = {}
+    for u, i, s in rows:
+        if u is not None and i is not None and s is not None:
+            stars.setdefault(i, []).append(s)
+    mean = {i: sum(v) / len(v) for i, v in stars.items()}
+    got = {(r.a, r.b): (r.n, r.sim) for r in similarity.pearson(table).collect()}
+    want = {}
+    for (a, b), both in by_pair(rows).items():
+        d = [(None if x is None else x - mean[a], None if y is None else y - mean[b]) for x, y in both]
+        down = math.sqrt(sum(x * x for x, _ in d if x is not None)) * math.sqrt(sum(y * y for _, y in d if y is not None))
+        up = sum(x * y for x, y in d if x is not None and y is not None)
+        want[a, b] = (len(both), 0.0 if len(both) < 3 or down <= 0 else up / down)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+
+
+def test_correlation_of_a_constant_side_is_nan(spark):
+    rows = pair_rows()
+    got = {(r.a, r.b): (r.n, r.sim) for r in similarity.co_rated_correlation(spark.createDataFrame(rows, "user string, item string, stars double")).collect()}
+    both = {k: v for k, v in by_pair(rows).items() if len(v) >= 3}
+    assert got.keys() == both.keys() and math.isnan(got["i03", "same"][1])
+    for k, pairs in both.items():
+        x, y = np.array([p for p in pairs if None not in p]).T
+        constant = len(set(x)) == 1 or len(set(y)) == 1
+        assert got[k][0] == len(pairs) and (math.isnan(got[k][1]) if constant else got[k][1] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9))
+
+
+@pytest.mark.parametrize("size", [60, 16_000_000])
+@pytest.mark.parametrize("ladder", [recommend.Ladder(above=0.1, least_neighbours=2), recommend.Ladder(most_similar=False, top=3, least_neighbours=1, fallback="item")])
+def test_predictions_by_blocks_equal_those_by_similarities(spark, monkeypatch, ladder, size):
+    monkeypatch.setattr(copairs, "BLOCK", size)
+    draw = random.Random(9)
+    rows = [(u, i, s, draw.random() < 0.2) for u, i, s in pair_rows() if s is not None and u is not None and i is not None] + [("cold", "i01", 2.0, True), ("u2", "new", 3.0, True)]
+    rows = list({r[:2]: r for r in rows}.values())
+    rated = spark.createDataFrame(rows, "user string, item string, stars double, asked boolean")
+    train, asked = rated.where("NOT asked"), rated.where("asked").select("user", "item")
+    sims = similarity.pearson(train, rule="plain")
+    want = {(r.user, r.item): r for r in recommend.predict(asked, train, sims, ladder).collect()}
+    strong = {(r.user, r.item): r.strong for r in recommend.strong_neighbours(asked, train, sims).collect()}
+    got = {(r.user, r.item): r for r in recommend.predict_rated(rated, ladder).collect()}
+    assert got.keys() == want.keys() and strong
+    for k, r in got.items():
+        assert r.n == want[k].n and r.prediction == pytest.approx(want[k].prediction, abs=1e-9) and list(r.top) == pytest.approx(list(want[k].top), abs=1e-9)
+        assert r.strong == strong.get(k, 0)
+    assert recommend.predict_rated(rated.limit(0), ladder).count() == 0 and similarity.pearson(rated.limit(0)).count() == 0

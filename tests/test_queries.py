@@ -54,3 +54,23 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_top_k_is_a_bounded_heap(spark):
     plan = registry.QUERIES["topk_customers"](spark, SF)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+#: Queries on pairs of items that users rated together.
+PAIRED = ["cf_features_rating"]
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_pairs_of_ratings_are_never_rows(spark, monkeypatch, name):
+    """Ratings go to blocks of items as one row for each user; no plan joins them with themselves."""
+    from orequarry.operators import scratch
+
+    plans, write = [], scratch.written
+    keep = lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df)
+    monkeypatch.setattr("orequarry.operators.copairs.written", keep)
+    cut = scratch.cut_lineage
+    for module in ("plans.mining", "plans.structures"):
+        monkeypatch.setattr(f"orequarry.{module}.cut_lineage", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    plans.append(registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString())
+    joins = sum(plan.split("== Physical Plan ==")[-1].count("Join") for plan in plans)
+    assert joins == 1  # of line items and orders
