@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orequarry.functions import scalars
-from orequarry.operators import clustering, copairs, features, graph, itemsets, learning, recommend, relational, sequences, similarity, sketches
+from orequarry.operators import clustering, copairs, features, graph, itemsets, learning, recommend, relational, sequences, setpairs, similarity, sketches
 from orequarry.plans.structures import toy_edges
 
 def plain_cost(a, b):
@@ -296,3 +296,26 @@ def test_predictions_by_blocks_equal_those_by_similarities(spark, monkeypatch, l
         assert r.n == want[k].n and r.prediction == pytest.approx(want[k].prediction, abs=1e-9) and list(r.top) == pytest.approx(list(want[k].top), abs=1e-9)
         assert r.strong == strong.get(k, 0)
     assert recommend.predict_rated(rated.limit(0), ladder).count() == 0 and similarity.pearson(rated.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [300, 100_000_000])
+def test_exact_pairs_by_blocks_equal_counts_of_shared_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(setpairs, "BLOCK", size)
+    draw = random.Random(11)
+    rows = {(i, m) for i in range(-20, 60) for m in draw.sample(range(30), draw.randrange(1, 12))} | {(i, 99) for i in (70, 71, 72)} | {(80, 1000)}
+    sets = spark.createDataFrame(sorted(rows), "id long, member long")
+    want = {(r.a, r.b): r.similarity for r in similarity.jaccard(similarity.overlap(sets), sets).collect()}
+    for least in (0.0, 0.3, 0.5, 1.0):
+        found = similarity.exact_pairs(sets, least)
+        assert {(r.a, r.b): r.similarity for r in found.collect()} == {k: v for k, v in want.items() if v >= least} and (71, 72) in want
+    assert "Join" not in found._jdf.queryExecution().toString()  # shared members are never joined into rows
+    named = sets.select(F.format_string("n%03d", F.col("id") + 100).alias("id"), F.col("member").cast("string").alias("member"))
+    got = {(r.a, r.b): r.similarity for r in similarity.exact_pairs(named, 0.3).collect()}
+    assert got == {tuple(f"n{x + 100:03d}" for x in k): v for k, v in want.items() if v >= 0.3}
+    assert similarity.exact_pairs(sets.limit(0), 0.3).count() == 0
+
+
+def test_precision_and_recall_of_no_pairs(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    row = similarity.precision_recall(none, none, ["a", "b"]).first()
+    assert (row.n_found, row.n_true, row.n_hit, row.precision) == (0, 0, 0, 1.0) and math.isnan(row.recall)
