@@ -74,3 +74,13 @@ def test_pairs_of_ratings_are_never_rows(spark, monkeypatch, name):
     plans.append(registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString())
     joins = sum(plan.split("== Physical Plan ==")[-1].count("Join") for plan in plans)
     assert joins == 1  # of line items and orders
+
+
+def test_lsh_recall_joins_no_sets_to_candidates(spark, monkeypatch):
+    """The exact test looks candidates up; rows with both sets filled the disk."""
+    from orequarry.plans import mining
+
+    plans, write = [], mining.written
+    monkeypatch.setattr(mining, "written", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    plans.append(registry.QUERIES["lsh_recall"](spark, SF)._jdf.queryExecution().toString())
+    assert len(plans) == 4 and not any("array_intersect" in plan for plan in plans)
