@@ -84,3 +84,13 @@ def test_lsh_recall_joins_no_sets_to_candidates(spark, monkeypatch):
     monkeypatch.setattr(mining, "written", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
     plans.append(registry.QUERIES["lsh_recall"](spark, SF)._jdf.queryExecution().toString())
     assert len(plans) == 4 and not any("array_intersect" in plan for plan in plans)
+
+
+def test_a_users_mean_is_the_same_number_on_both_sides(spark):
+    """Where the item-based prediction falls back to the user's mean, both errors are equal to the last bit, so neither model wins."""
+    from orequarry.plans import mining
+
+    scored = mining._scored(spark, SF)
+    assert "Join" not in scored._jdf.queryExecution().toString()  # two sums of the same stars differ in their order
+    fallback = scored.where("n < 5").collect()
+    assert fallback and all(r.item_prediction == r.model_prediction for r in fallback)
