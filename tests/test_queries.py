@@ -57,7 +57,7 @@ def test_top_k_is_a_bounded_heap(spark):
 
 
 #: Queries on pairs of items that users rated together.
-PAIRED = ["cf_features_rating", "alpha_hybrid", "cf_least_similar", "blend_sweep"]
+PAIRED = ["cf_features_rating", "alpha_hybrid", "cf_least_similar", "blend_sweep", "cf_padded"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
