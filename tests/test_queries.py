@@ -57,7 +57,7 @@ def test_top_k_is_a_bounded_heap(spark):
 
 
 #: Queries on pairs of items that users rated together.
-PAIRED = ["cf_features_rating", "alpha_hybrid", "cf_least_similar", "blend_sweep", "cf_padded", "cf_top_three", "item_pearson_plain", "blend_sweep_wide", "cf_amplified_item_mean", "cf_strict", "cf_top_two", "error_report", "item_pearson_amplified", "item_pearson_strict", "blend_fixed", "cf_least_similar_gated"]
+PAIRED = ["cf_features_rating", "alpha_hybrid", "cf_least_similar", "blend_sweep", "cf_padded", "cf_top_three", "item_pearson_plain", "blend_sweep_wide", "cf_amplified_item_mean", "cf_strict", "cf_top_two", "error_report", "item_pearson_amplified", "item_pearson_strict", "blend_fixed", "cf_least_similar_gated", "switching_hybrid"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
