@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orequarry.functions import scalars
-from orequarry.operators import clustering, copairs, features, graph, itemsets, learning, recommend, relational, sequences, setpairs, similarity, sketches
+from orequarry.operators import clustering, copairs, features, graph, itemsets, learning, perceptron, recommend, relational, sequences, setpairs, similarity, sketches
 from orequarry.plans.structures import toy_edges
 
 def plain_cost(a, b):
@@ -319,3 +319,34 @@ def test_precision_and_recall_of_no_pairs(spark):
     none = spark.createDataFrame([], "a long, b long")
     row = similarity.precision_recall(none, none, ["a", "b"]).first()
     assert (row.n_found, row.n_true, row.n_hit, row.precision) == (0, 0, 0, 1.0) and math.isnan(row.recall)
+
+
+def test_gradient_equals_differences():
+    rng, layers = np.random.default_rng(0), [3, 5, 4, 2]
+    w, x, y = rng.normal(size=20 + 24 + 10), rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
+    loss = lambda v: perceptron.Network(v, layers).loss_and_gradient(x, y)[0]
+    slope = perceptron.Network(w, layers).loss_and_gradient(x, y)[1]
+    assert slope == pytest.approx([(loss(w + e) - loss(w - e)) / 2e-6 for e in np.eye(len(w)) * 1e-6], abs=1e-6)
+
+
+def test_network_equals_that_of_mllib(spark):
+    """The first round goes the same way from the same weights; line searches differ in length, but after more rounds as much is learned."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 1280))  # ten of the blocks whose means MLlib averages
+    rows = [(float(p), None if k % 9 == 0 else float(q), 5.0, int(abs(p) > 0.7)) for k, (p, q) in enumerate(zip(a, b, strict=True))]
+    table, columns = learning.with_missing_flags(spark.createDataFrame(rows, "a double, b double, c double, y int").coalesce(1), ["a", "b", "c"])
+    start = perceptron.first_weights(spark, [3, 8, 8, 2], 7)
+    for rounds in (1, 30):
+        model = learning.network(table, columns[:3], "y", (8, 8), rounds)
+        ready = model.transform(table).drop("prediction", "probability", "rawPrediction").cache()
+        other = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="y", layers=[3, 8, 8, 2], maxIter=rounds, seed=7).fit(ready)
+        if rounds == 1:
+            own, its = (m.weights.toArray() - start for m in (model.stages[-1], other))
+            assert own @ its == pytest.approx(np.linalg.norm(own) * np.linalg.norm(its), rel=1e-4)
+        got, want = (learning.accuracy(m.transform(t), "y").first().accuracy for m, t in ((model, table), (other, ready)))
+        assert rounds == 1 or got == pytest.approx(want, abs=0.05) and got > 0.9
+        assert learning.accuracy(learning.classified(model, table, columns[:3], "y"), "y").first().accuracy == pytest.approx(got, abs=0.002)
+    with pytest.raises(ValueError, match="no rows"):
+        learning.perceptron.fit(table.limit(0), columns[:3], "y", learning._scale(model, columns[:3]), [3, 8, 2], 1, 7)

@@ -94,3 +94,16 @@ def test_a_users_mean_is_the_same_number_on_both_sides(spark):
     assert "Join" not in scored._jdf.queryExecution().toString()  # two sums of the same stars differ in their order
     fallback = scored.where("n < 5").collect()
     assert fallback and all(r.item_prediction == r.model_prediction for r in fallback)
+
+
+def test_network_reads_narrow_rows(spark, monkeypatch):
+    """One row a user and blocks of numbers are written, never the wide table or the features of MLlib; the rows are those of the other models."""
+    from orequarry.plans import structures
+
+    wide = structures._train_test(spark, SF)
+    narrow = structures._narrow_train_test(spark, SF)
+    rounded = lambda df, columns: canonical(df.select("user", "item", "stars", "fold", *columns).toPandas())
+    assert wide[2] == narrow[2] and all(rounded(a, wide[2]) == rounded(b, wide[2]) for a, b in zip(wide[:2], narrow[:2], strict=True))
+    monkeypatch.setattr(structures, "cut_lineage", lambda df: pytest.fail("a checkpoint of the whole table"))
+    plan = registry.QUERIES["network_classifier"](spark, SF)
+    assert 0 <= plan.first().accuracy <= 1 and "MapInArrow" in plan._jdf.queryExecution().toString()
