@@ -76,6 +76,21 @@ def test_pairs_of_ratings_are_never_rows(spark, monkeypatch, name):
     assert joins == 1  # of line items and orders
 
 
+@pytest.mark.parametrize("name", ["cf_least_similar", "cf_least_similar_gated", "cf_padded", "cf_strict", "item_pearson_plain"])
+def test_pairs_of_ratings_with_null_keys_and_nan_equal_sql(spark, tmp_path, name):
+    """Ratings without a user count in the means of items, those without an item in the means of users; both are predicted; NaN isn't null."""
+    con = duckdb.connect()
+    changes = {"lineitem": ("l_suppkey = CASE WHEN i % 50 = 0 THEN NULL ELSE l_suppkey END", "l_quantity = CASE WHEN i % 500 = 0 THEN 'nan'::DOUBLE WHEN i % 7 = 0 OR l_orderkey % 40 = 0 THEN NULL ELSE l_quantity END"), "orders": ("o_custkey = CASE WHEN i % 9 = 0 THEN NULL ELSE o_custkey END",)}
+    for t, columns in changes.items():
+        replaced = ", ".join(f"{after} AS {c}" for c, after in (x.split(" = ", 1) for x in columns))
+        con.execute(f"COPY (SELECT * REPLACE ({replaced}) FROM (SELECT *, row_number() OVER () AS i FROM '{SF}/{t}.parquet')) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    rows = lambda found: sorted([tuple(repr(v) for v in row) for row in found])
+    want = rows(con.execute(registry.ORACLE_SQL[name]).fetchall())
+    assert any("None" in row for row in want) == name.startswith("cf")
+    assert rows(registry.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_lsh_recall_joins_no_sets_to_candidates(spark, monkeypatch):
     """The exact test looks candidates up; rows with both sets filled the disk."""
     from orequarry.plans import mining
