@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from orequarry.operators import perceptron
 from orequarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +123,11 @@ def test_network_reads_narrow_rows(spark, monkeypatch):
     monkeypatch.setattr(structures, "cut_lineage", lambda df: pytest.fail("a checkpoint of the whole table"))
     plan = registry.QUERIES["network_classifier"](spark, SF)
     assert 0 <= plan.first().accuracy <= 1 and "MapInArrow" in plan._jdf.queryExecution().toString()
+
+
+def test_network_learns_for_all_rounds(spark, monkeypatch):
+    """As many rounds as the reference has epochs."""
+    asked, search = [], perceptron.lbfgs
+    monkeypatch.setattr(perceptron, "lbfgs", lambda f, x, rounds: asked.append((len(x), rounds)) or search(f, x, 1))
+    assert 0 <= registry.QUERIES["network_classifier"](spark, SF).first().accuracy <= 1
+    assert asked == [(7 * 128 + 129 * 128 + 129 * 2, 100)]
