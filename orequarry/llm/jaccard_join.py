@@ -16,6 +16,9 @@ from orequarry.llm.storage import materialize, shuffle_parts
 #: Set members (8 bytes each) that one task joins in memory; larger canopies are dealt to blocks.
 TASK_MEMBERS = 1_000_000
 
+#: Classes of one key up to which all its pairs are looked at together; pairs and words of bitmaps compared at once.
+PAIRED, OPENED, WORDS = 64, 1_000_000, 4_000_000
+
 
 def low_share(percent: int) -> float:
     """Share of the hash range whose shingles are counted, and come first in the global order.
@@ -252,6 +255,106 @@ def _key_edges(percent: int):
     return run
 
 
+# --- pairs that cannot link, told by bitmaps
+
+
+def bitmap(members: np.ndarray) -> bytes:
+    """Parity of the members on so many bits, a power of two and at least twice their number.
+
+    Two bitmaps, the larger folded to the size of the smaller, differ in no more bits than their sets in members.
+    """
+    bits = 1 << max(6, (2 * len(members) - 1).bit_length())
+    return np.packbits((np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of sets, one matrix for each size."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.words = np.array([len(m) // 8 for m in maps], np.int64)
+        self.place = np.empty(len(maps), np.int64)
+        self.folded = {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.place[own] = np.arange(len(own))
+            self.folded[w, w] = np.frombuffer(b"".join(maps[i] for i in own.tolist()), np.uint64).reshape(-1, w)
+
+    def _rows(self, at: np.ndarray, words: int) -> np.ndarray:
+        out = np.empty((len(at), words), np.uint64)
+        for w in np.unique(self.words[at]).tolist():
+            if (w, words) not in self.folded:
+                self.folded[w, words] = np.bitwise_xor.reduce(self.folded[w, w].reshape(-1, w // words, words), 1)
+            here = self.words[at] == w
+            out[here] = self.folded[w, words][self.place[at[here]]]
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """False for the pairs whose sets differ in too many members to reach the threshold."""
+        small, large = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
+        out = 100 * small >= self.percent * large
+        words = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(words[out]).tolist():
+            own = np.flatnonzero(out & (words == w))
+            for at in np.split(own, range(WORDS // w + 1, len(own), WORDS // w + 1)):
+                differ = np.bitwise_count(self._rows(i[at], w) ^ self._rows(j[at], w)).sum(1, dtype=np.int64)
+                out[at] = (100 + self.percent) * differ <= (100 - self.percent) * (small[at] + large[at])
+        return out
+
+
+def _marks(batches):
+    for batch in batches:
+        made = [bitmap(np.frombuffer(s, np.uint64)) for s in batch.column("set").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(made, pa.binary())], ["cls", "n", "bits"])
+
+
+def _key_rows(batches):
+    for batch in batches:
+        h, c = T.unpacked(batch.column("hs"), np.uint64), T.unpacked(batch.column("cs"), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "cls"])
+
+
+def _likely_edges(percent: int):
+    """Edges that join the classes of each key as far as their bitmaps let them link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, (cls, first, at) = table["h"].to_numpy(), np.unique(table["cls"].to_numpy(), return_index=True, return_inverse=True)
+        sizes = table["n"].to_numpy()[first]
+        maps = Bitmaps(table["bits"].take(pa.array(first)).to_pylist(), sizes, percent)
+        order = np.lexsort((at, sizes[at], h))
+        h, at = h[order], at[order]
+        once = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])])
+        h, at = h[once], at[once]
+        start, length = T.runs_of(h)
+        a, b = [at[:0]], [at[:0]]
+        few = np.repeat(length <= PAIRED, length)
+        left = np.flatnonzero(few)
+        later = np.repeat(start + length, length)[left] - left - 1
+        for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(np.cumsum(later) // OPENED)) + 1):
+            n = later[part]
+            i = np.repeat(left[part], n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            good = maps.may_link(at[i], at[j])
+            a.append(at[i[good]])
+            b.append(at[j[good]])
+        for low, n in zip(start[length > PAIRED].tolist(), length[length > PAIRED].tolist(), strict=True):
+            own, label, lead = at[low : low + n], np.arange(n), n // 2
+            for q in [lead, *range(n)]:
+                if q != lead and label[q] == label[lead]:  # as in trie_components
+                    continue
+                near = np.arange(*np.searchsorted(sizes[own], [-(-percent * sizes[own[q]] // 100), 100 * sizes[own[q]] // max(percent, 1) + 1]))
+                near = near[label[near] != label[q]]
+                near = near[maps.may_link(np.full(len(near), own[q]), own[near])]
+                if len(near):
+                    a.append(np.full(len(near), own[q]))
+                    b.append(own[near])
+                    label[np.isin(label, label[near])] = label[q]
+        a, b = spanning_edges(cls[np.concatenate(a)], cls[np.concatenate(b)])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _fetch(k: int):
     def run(batches):
         for batch in (piece for whole in batches for piece in T.slices(whole)):
@@ -287,14 +390,28 @@ def _join_group(percent: int):
 # --- the operator
 
 
-def _canopies(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
-    """cls, canopy: classes that share a key of their prefixes, directly or through others."""
+def _canopies(docs: DataFrame, k: int, percent: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """cls, canopy: classes that share a key of their prefixes, directly or through others; and the keys."""
     binary = lambda names: "part long, " + ", ".join(f"{x} binary" for x in names.split())
     emitted = docs.mapInArrow(_emit(k, percent, parts), binary("hs cs ns ss"))
     shared = emitted.groupBy("part").applyInArrow(_shared_only(parts), binary("cs hs ds ns ss"))
-    keys = shared.groupBy("part").applyInArrow(_prefix_keys(percent, parts), binary("hs cs ns"))
+    keys = materialize(shared.groupBy("part").applyInArrow(_prefix_keys(percent, parts), binary("hs cs ns")))
     edges = keys.groupBy("part").applyInArrow(_key_edges(percent), "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("canopy"))
+    return connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("canopy")), keys
+
+
+def _parted(sets: DataFrame, keys: DataFrame, large: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The sets with the canopies in `large` parted: classes stay together only through keys of pairs that may link."""
+    hot = sets.join(large.select("canopy"), "canopy")
+    marks = materialize(hot.mapInArrow(_marks, "cls long, n long, bits binary").dropDuplicates(["cls"]))
+    # a class has a key for each 100 / (100 - percent) members at most, and half a byte at most for each member
+    room = marks.agg(F.sum(F.col("n") * F.col("n"))).first()[0] * (100 - percent) // 200
+    tasks = max(parts, room // 64_000_000 + 1)
+    met = keys.mapInArrow(_key_rows, "h long, cls long").join(marks, "cls").withColumn("task", F.pmod("h", F.lit(tasks)))
+    edges = met.groupBy("task").applyInArrow(_likely_edges(percent), "a long, b long")
+    found = materialize(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("canopy")))
+    parted = hot.drop("canopy").join(found, "cls").select(*sets.columns)
+    return materialize(sets.join(large.select("canopy"), "canopy", "left_anti").select(*sets.columns).union(parted))
 
 
 def _small_links(sets: DataFrame, large: DataFrame | None, percent: int, parts: int) -> DataFrame:
@@ -377,8 +494,9 @@ def jaccard_components(
        rarity is counted over all classes. Only the prefix that links must meet in is kept, and of it
        only shingles that another class holds; most classes drop out here.
     3. Classes that share such a key form canopies. Sets of a canopy are fetched from the texts and
-       joined in a prefix tree. A canopy above `task_members` is dealt to blocks, in two rounds that
-       compare all that the first leaves outside its leader's component with every block.
+       joined in a prefix tree. A canopy above `task_members` is parted first: bitmaps of its sets tell
+       which pairs that share a key cannot link. What is still above is dealt to blocks, in two rounds
+       that compare all that the first leaves outside its leader's component with every block.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -389,11 +507,14 @@ def jaccard_components(
     real = rows.where(F.col("doc_id").isNotNull())
     leaves = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "run").agg(F.min("doc_id").alias("first"))
     reps = leaves.groupBy("cls").agg(F.min("first").alias("first"))
-    canopy = materialize(_canopies(real, words, percent, parts))
+    canopy, keys = _canopies(real, words, percent, parts)
+    canopy = materialize(canopy)
     wanted = canopy.join(reps, "cls").select(F.col("first").alias("doc_id"), "cls", "canopy")
     few = canopy.count() <= 200_000
     sets = real.join(F.broadcast(wanted) if few else wanted, "doc_id").select("canopy", "cls", "text")
     sets = materialize(sets.mapInArrow(_fetch(words), "canopy long, cls long, n long, set binary"))
+    if (large := _too_large(sets, task_members)) is not None:
+        sets = _parted(sets, keys, large, percent, parts)
     linked = canopy_components(sets, percent, parts, task_members)
     classes = reps.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -104,6 +104,33 @@ def test_jaccard_join_on_awkward_rows(awkward, nothing):
     assert len(lost) == 1 and lost[0].component_id is None
 
 
+@pytest.mark.parametrize("paired", [jaccard_join.PAIRED, 2])
+def test_canopies_of_chance_meetings_are_parted(spark, monkeypatch, paired):
+    """Texts of few words meet by many keys and link with few; they are told apart before any canopy is dealt to blocks."""
+    sized, too_large = [], jaccard_join._too_large
+    monkeypatch.setattr(jaccard_join, "_too_large", lambda *a: sized.append(too_large(*a)) or sized[-1])
+    monkeypatch.setattr(jaccard_join, "_large_links", lambda *a: pytest.fail("every set meets every block"))
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choices("abcdef", k=draw.randrange(20, 60)))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " g") for i in range(30)] + [(300 + i, "a " + rows[i][1] + " g") for i in range(15)]
+    check_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85, task_members=2000)
+    assert sized[0].first().total > 2000 and sized[1] is None
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (1, 2, 31, 33, 400, 5000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], rng.integers(0, 2**64, k, np.uint64)])) for s in sets for k in (0, 1, len(s) // 12, len(s))]
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(len(sets))])
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+    sizes = np.array([len(s) for s in sets])
+    for percent in (20, 85, 100):
+        likely = jaccard_join.Bitmaps([jaccard_join.bitmap(s) for s in sets], sizes, percent).may_link(*pairs.T)
+        linked = 100 * both >= percent * (sizes[pairs].sum(1) - both)
+        assert likely[linked].all() and (percent == 20 or likely.sum() < 2 * linked.sum())
+
+
 @pytest.mark.parametrize("task_members", [jaccard_join.TASK_MEMBERS, 60])
 def test_jaccard_join_equals_brute_force(spark, documents, task_members):
     """With few members a task, canopies are dealt to blocks and joined in two rounds."""
